@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.bpe import encode_corpus
 from millrace.llm.canonical import map_to_list
 from millrace.llm.distinctive import distinctive_terms
 from millrace.llm.forms import look_alike_groups, look_alikes
 from millrace.llm.frequency import term_frequencies
+from millrace.llm.leakage import find_leaks, removal_spans
 from millrace.llm.sampling import sample_categories
 from millrace.sources.tables import load
 
@@ -58,4 +62,24 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return map_to_list(load(spark, d, "spell_correction"), load(spark, d, "correctme"), "query_id", "queries", "key_id", "keys")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_report, p2_sample, p3_found, p3_scores, p4_found, p4_forms, p5_found)}
+#: Where the public vocabularies lie.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(load(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(load(spark, d, "documents"), load(spark, d, "eval_items"), "doc_id", "text", "item_id", "passage")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    return removal_spans(_leaks(spark, d), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_report, p2_sample, p3_found, p3_scores, p4_found, p4_forms, p5_found, p6_ids, p7_found, p7_spans)}
