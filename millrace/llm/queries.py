@@ -14,6 +14,7 @@ from millrace.llm.forms import look_alike_groups, look_alikes
 from millrace.llm.frequency import term_frequencies
 from millrace.llm.leakage import find_leaks, removal_spans
 from millrace.llm.sampling import sample_categories
+from millrace.llm.subjects import subject_areas
 from millrace.sources.tables import load
 
 
@@ -82,4 +83,8 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return removal_spans(_leaks(spark, d), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_report, p2_sample, p3_found, p3_scores, p4_found, p4_forms, p5_found, p6_ids, p7_found, p7_spans)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(load(spark, d, "documents"), load(spark, d, "subject_labels"), load(spark, d, "subjects"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_report, p2_sample, p3_found, p3_scores, p4_found, p4_forms, p5_found, p6_ids, p7_found, p7_spans, p8_found)}
