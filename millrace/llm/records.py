@@ -21,10 +21,14 @@ def term_of(token: Column) -> Column:
 
 @dataclass(frozen=True)
 class Counted:
-    """pairs: (docno, salt, term, tf), one row per record and term, all rows of a (docno, salt) in one partition."""
+    """pairs: (*by, term, tf), one row per record and term, all rows of one `by` in one partition.
+
+    by is docno, and salt beside it where records are so hot that their terms were spread.
+    """
 
     pairs: DataFrame
     profile: KeyProfile
+    by: tuple[str, ...]
 
     @property
     def records(self) -> int:
@@ -48,20 +52,21 @@ def counted_pairs(rows: DataFrame, row_id: str = "row_id", record: str = "docno"
     profile = profile_key(valid, "docno")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lone = F.when(F.col("row_id").isNull(), F.monotonically_increasing_id())
+    by = ("docno", "salt") if profile.hot else ("docno",)
     pairs = (
         valid.withColumns({"salt": profile.salt(F.col("docno"), F.col("term"), parts), "lone": lone})
-        .repartition("docno", "salt")
-        .groupBy("docno", "salt", "term", "row_id", "lone")
+        .repartition(*by)
+        .groupBy(*by, "term", "row_id", "lone")
         .agg(F.min("tf").alias("tf"))
-        .groupBy("docno", "salt", "term")
+        .groupBy(*by, "term")
         .agg(F.sum("tf").alias("tf"))
     )
-    return Counted(pairs, profile)
+    return Counted(pairs, profile, by)
 
 
 def with_record_totals(counted: Counted) -> DataFrame:
     """pairs with `total`, the count of all terms of the record."""
-    own = F.sum("tf").over(Window.partitionBy("docno", "salt"))
+    own = F.sum("tf").over(Window.partitionBy(*counted.by))
     pairs = counted.pairs.withColumn("total", own)
     if counted.profile.hot:  # their salted parts are summed; at most 2P rows, see profile_key
         hot = counted.pairs.filter(F.col("docno").isin(*counted.profile.hot)).groupBy("docno").agg(F.sum("tf").alias("hot_total"))
