@@ -1,35 +1,6 @@
-"""Query keys, what they run, and the SQL they are held against."""
+"""All queries of the engine."""
 
-from __future__ import annotations
+from millrace.plans import records, relational, series, texts  # noqa: F401
+from millrace.plans.registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from millrace.plans import q3
-from millrace.sources.tables import load
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-DAY = "1998-01-01"
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL where SQL can say it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query(f"""
-SELECT o_orderkey, round(coalesce(sum(CASE WHEN l_shipdate > TIMESTAMP '{DAY}' THEN l_extendedprice END), 0), 2) AS revenue
-FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey
-WHERE o_orderdate < TIMESTAMP '{DAY}' AND c_nationkey = 10 GROUP BY o_orderkey""")
-def q3_left_sum(spark, d):
-    return q3.left_sum(load(spark, d, "orders"), load(spark, d, "customer"), load(spark, d, "lineitem"), DAY, 10)
+__all__ = ["ORACLE", "QUERIES"]
