@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.observation import Observation
 
 
 @dataclass(frozen=True)
@@ -25,15 +24,16 @@ class KeyProfile:
 
 
 def profile_key(df: DataFrame, key: str) -> KeyProfile:
-    """Count rows and keys, and find the hot keys, in one pass with map-side combine.
+    """Count rows and keys, and find the hot keys, with map-side combine; a second pass only where there are any.
 
     A key is hot when it holds more than one 2P-th of all rows, P being the number of shuffle
     partitions. At most 2P keys can, so the list that reaches the driver is bounded by the
     cluster's own setting, whatever the size of the table.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen_rows, seen_keys = Observation(), Observation()
-    counts = df.filter(F.col(key).isNotNull()).observe(seen_rows, F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    top = counts.observe(seen_keys, F.count(F.lit(1)).alias("n")).orderBy(F.desc("n_rows"), key).limit(2 * parts).collect()
-    rows, keys = seen_rows.get["n"] or 0, seen_keys.get["n"] or 0
-    return KeyProfile(rows, keys, tuple(r[key] for r in top if r["n_rows"] * 2 * parts > rows))
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    rows, keys, most = counts.agg(F.sum("n_rows"), F.count(F.lit(1)), F.max("n_rows")).first()
+    if not keys or most * 2 * parts <= rows:
+        return KeyProfile(rows or 0, keys, ())
+    hot = counts.filter(F.col("n_rows") * (2 * parts) > rows).select(key).orderBy(key).collect()
+    return KeyProfile(rows, keys, tuple(r[0] for r in hot))
