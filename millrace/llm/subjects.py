@@ -30,12 +30,13 @@ LABELLED = 8_000
 #: Occurrences by which a word's and a pair's counts are interpolated, and the margins to choose from.
 WORD_PRIOR, PAIR_PRIOR = 20.0, 20.0
 MARGINS = [0.02 * i for i in range(1, 26)]
-#: Gain of a word that is a subject's own, and of a sentence that speaks of it at least; share of the speaking sentences.
-OWN, EVIDENCE, QUARTER = 0.5, 1.0, 0.25
+#: Gain of a word that is a subject's own, and of a sentence that speaks of it, at least, as parts of the
+#: gain ln(subjects) that a word of only one of equally large subjects has; share of the speaking sentences.
+OWN, EVIDENCE, QUARTER = 0.23, 0.45, 0.25
 
 _LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _LEAD = re.compile(r"^[\s>*#|-]+")
-_SENTENCES = re.compile(r"(?<=。)|(?<=[.?!])(?=\s|$)|(?<=[?!])(?=[^\x00-\x7f])")
+_SENTENCES = re.compile(r"(?<=。)|(?<=[.?!])(?=\s|$)|(?<=[぀-ヿ一-鿿][?!])|(?<=[?!])(?=[^\x00-\x7f])")
 _TOKENS = re.compile(r"[A-Za-z0-9]*_\w+|[^\W\d_a-zà-öø-ÿ]*[a-zà-öø-ÿ]+[^\W\d_぀-ヿ一-鿿]*|\d+|[ぁ-ゟ]+|[゠-ヿ]+|[一-鿿々]+|[^\W\d_]+")
 _CASELESS = str.maketrans(CASELESS)
 UNKNOWN, NUMBER, START = 0, 1, 2
@@ -154,13 +155,14 @@ def interpolated_gains(word_counts: np.ndarray, pair_counts: np.ndarray, backgro
 
 @dataclass
 class Model:
-    """Per-word gain of each subject over the background, for words and for pairs; subjects in order; the margin to reach."""
+    """Per-word gain of each subject over the background, for words and for pairs; subjects in order; what a sentence must reach a word and in all."""
 
     subjects: list[str]
     words: Words
     word_gain: np.ndarray
     pair_gain: np.ndarray
     margin: float
+    evidence: float
 
     def gains(self, sentences: list[list[str]], documents: np.ndarray) -> np.ndarray:
         """Cross-entropy of the background less that of each subject, per word of each sentence."""
@@ -175,11 +177,13 @@ class Model:
         return np.add.reduceat(gain, starts, axis=0) / np.diff(np.append(starts, len(word)))[:, None]
 
 
-def accepted(gains: np.ndarray, lengths: np.ndarray, documents: np.ndarray, n: int, margin: float) -> np.ndarray:
+def accepted(gains: np.ndarray, lengths: np.ndarray, documents: np.ndarray, n: int, margin: float, evidence: float) -> np.ndarray:
     """(document, subject) booleans: subjects with a quarter of the speaking sentences of the document."""
+    if not gains.size:
+        return np.zeros((n, gains.shape[1]), bool)
     best = gains.argmax(axis=1)
     most = gains.max(axis=1, initial=-np.inf)
-    speaks = (most > margin) & (most * lengths > EVIDENCE)
+    speaks = (most > margin) & (most * lengths > evidence)
     shares = np.zeros((n, gains.shape[1]))
     np.add.at(shares, (documents[speaks], best[speaks]), 1)
     total = shares.sum(axis=1, keepdims=True)
@@ -256,7 +260,7 @@ def fit(corpus: DataFrame, labels: DataFrame, subjects: DataFrame, id: str, text
     for d, (_, chosen) in enumerate(sample):
         truth[d, chosen] = True
     if not sentences:
-        return Model(names, Words({}, np.zeros((3, 1)), np.zeros(0, np.int64)), np.zeros((3, len(names))), np.zeros((0, len(names))), np.inf)
+        return Model(names, Words({}, np.zeros((3, 1)), np.zeros(0, np.int64)), np.zeros((3, len(names))), np.zeros((0, len(names))), np.inf, np.inf)
     words, counts, pairs = fit_sentences(sentences, documents, truth, [r.language for r, _ in sample])
 
     shared = spark.sparkContext.broadcast(words)
@@ -271,13 +275,14 @@ def build(names, words, counts, pairs, everywhere, together, sentences, document
     """Gains over the background, and the margin that agrees best with the labels."""
     word_gain, pair_gain = interpolated_gains(counts, pairs, spread_of(everywhere, together, words), words)
     # words that no subject makes clearly likelier are everybody's and speak neither for nor against one
-    word_gain[word_gain.max(axis=1) < OWN] = 0
-    pair_gain[pair_gain.max(axis=1, initial=0) < OWN] = 0
-    model = Model(names, words, word_gain, pair_gain, 0.0)
+    alone = np.log(max(2, truth.any(axis=0).sum()))
+    word_gain[word_gain.max(axis=1) < OWN * alone] = 0
+    pair_gain[pair_gain.max(axis=1, initial=0) < OWN * alone] = 0
+    model = Model(names, words, word_gain, pair_gain, 0.0, EVIDENCE * alone)
     gains, lengths = model.gains(sentences, documents), lengths_of(sentences)
     best = -1.0
     for margin in MARGINS:
-        said = accepted(gains, lengths, documents, len(truth), margin)
+        said = accepted(gains, lengths, documents, len(truth), margin, model.evidence)
         score = 2 * (said & truth).sum() / max(1, said.sum() + truth.sum())
         if score > best:
             best, model.margin = score, margin
@@ -288,7 +293,7 @@ def _assign(batches: Iterator[pa.RecordBatch], shared, id_type: pa.DataType) ->
     model = shared.value
     for b in batches:
         sentences, documents = _split(b.column(1).to_pylist())
-        chosen = accepted(model.gains(sentences, documents), lengths_of(sentences), documents, b.num_rows, model.margin)
+        chosen = accepted(model.gains(sentences, documents), lengths_of(sentences), documents, b.num_rows, model.margin, model.evidence)
         d, s = np.nonzero(chosen)
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array([model.subjects[i] for i in s], pa.string())], names=["id", "subject"])
 
