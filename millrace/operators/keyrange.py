@@ -30,5 +30,5 @@ def prune(zones: DataFrame, bounds: KeyRange) -> DataFrame:
 def parse_ranges(lines: DataFrame, line: str = "value") -> DataFrame:
     """(key, range<offset, length>) from `key|offset|length` lines; malformed lines are left out."""
     f = F.split(line, r"\|")
-    parsed = lines.filter(F.size(f) == 3).select(f[0].alias("key"), F.expr(f"try_cast(split({line}, '[|]')[1] AS BIGINT)").alias("offset"), F.expr(f"try_cast(split({line}, '[|]')[2] AS INT)").alias("length"))
+    parsed = lines.filter(F.size(f) == 3).select(f[0].alias("key"), F.expr(f"try_cast(get(split({line}, '[|]'), 1) AS BIGINT)").alias("offset"), F.expr(f"try_cast(get(split({line}, '[|]'), 2) AS INT)").alias("length"))
     return parsed.filter("offset is not null and length is not null").select("key", F.struct("offset", "length").alias("range"))

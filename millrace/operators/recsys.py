@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def parse_ratings(lines: DataFrame, line: str = "value") -> DataFrame:
     """(user, item, rating, ts) from `user::item::rating::ts`."""
-    part = lambda i, t: F.expr(f"try_cast(element_at(split({line}, '::'), {i}) AS {t})")
+    part = lambda i, t: F.expr(f"try_cast(try_element_at(split({line}, '::'), {i}) AS {t})")
     return lines.select(part(1, "INT").alias("user"), part(2, "INT").alias("item"), part(3, "DOUBLE").alias("rating"), part(4, "BIGINT").alias("ts"))
 
 

@@ -67,7 +67,7 @@ def sequential_register(history: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def compact(path: str, spark: SparkSession, group: Callable[[DataFrame], DataFrame], fanout: int = 2) -> None:
-    """Merge segments under path/level=i like a binary counter: `fanout` segments of a level become one of the next.
+    """Merge segments of one schema under path/level=i like a binary counter: `fanout` segments of a level become one of the next.
 
     Every segment is a folder level=i/segment=j. A merged segment is written whole before its sources go.
     """
