@@ -41,16 +41,15 @@ def segment_index(forms: DataFrame, least: int) -> DataFrame:
     The whole form is a piece too, at place -1; forms shorter than `least` have no other.
     """
     n = F.length("form")
-    cuts = [(F.floor((n + 1) / 3).cast("int") + o, F.floor((2 * n + 2) / 3).cast("int") + o) for o in (-1, 0, 1)]
-    pieces = []
-    for first, second in cuts:
-        for start, end in ((F.lit(0), first), (first, second), (second, n)):
-            for d, s in MOVES:
-                fits = (start + s >= 0) & (end + s <= n + d)
-                pieces.append(F.when(fits, F.struct((n + d).alias("size"), (start + s).alias("place"), F.col("form").substr(start + 1, end - start).alias("piece"))))
-    whole = F.struct(n.alias("size"), F.lit(-1).alias("place"), F.col("form").alias("piece"))
-    parts = F.array_distinct(F.array_compact(F.array(*pieces)))
-    return forms.select("key", "form", F.explode(F.when(n >= least, F.array_append(parts, whole)).otherwise(F.array(whole))).alias("p")).select("key", "form", "p.*")
+    first, second = (F.floor((F.col("n") + 1) / 3) + F.col("o")).cast("int"), (F.floor((2 * F.col("n") + 2) / 3) + F.col("o")).cast("int")
+    segment = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+    cut = forms.filter(n >= least).select("key", "form", n.alias("n"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("o"))
+    cut = cut.select("key", "form", "n", F.explode(F.array(segment(F.lit(0), first), segment(first, second), segment(second, F.col("n")))).alias("s"))
+    moves = F.explode(F.array(*[F.struct(F.lit(d).alias("longer"), F.lit(m).alias("shift")) for d, m in MOVES]))
+    placed = cut.select("key", "form", (F.col("n")).alias("n"), "s.*", moves.alias("m")).select("*", "m.*").filter("start + shift >= 0 and end + shift <= n + longer")
+    parts = placed.select("key", "form", (F.col("n") + F.col("longer")).alias("size"), (F.col("start") + F.col("shift")).alias("place"), F.col("form").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
+    whole = forms.select("key", "form", n.alias("size"), F.lit(-1).alias("place"), F.col("form").alias("piece"))
+    return parts.distinct().unionByName(whole)
 
 
 def typed_pieces(forms: DataFrame) -> DataFrame:
@@ -97,9 +96,10 @@ def map_to_list(df: DataFrame, listed: DataFrame, id: str, text: str, key: str,
     entries = listed.select(F.col(entry).alias("_text")).filter("_text is not null").distinct()
     typed = rows.join(entries, "_text", "left_anti").withColumn("_form", one_form(F.col("_text"))).filter("_form <> ''").select("_id", letters(F.col("_form")).alias("typed"))
 
-    index = segment_index(listed_forms(listed, key, entry), least)
+    forms = listed_forms(listed, key, entry)
+    index = segment_index(forms, least)
     pieces = typed_pieces(typed.select("typed").distinct())
-    index_rows = index.count()
+    index_rows = forms.count() * (9 * len(MOVES) + 1)  # at most
     candidates = pieces.join(F.broadcast(index) if index_rows <= BROADCAST_ROWS else index, ["size", "place", "piece"])
     verified = candidates.select("typed", "key", slips(F.col("typed"), F.col("form")).alias("slips"), (F.length("form") < least).alias("short")).filter("slips is not null and (slips = 0 or not short)")
     best = verified.groupBy("typed").agg(F.min(F.struct("slips", "key")).alias("m")).select("typed", F.col("m.key").alias("key"))
