@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Named entities and what they stand for; the ampersand comes last.
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("\\s", " "), ("&amp;", "&")]
@@ -56,3 +60,12 @@ def link(text: Column, pattern: str, base: str) -> Column:
 def nth_field(line: Column, separator: str, n: int) -> Column:
     """The n-th field (from 1) of a delimited line."""
     return F.split_part(line, F.lit(separator), F.lit(n))
+
+
+def ordinary_width(text: Column) -> Column:
+    """Full-width and half-width forms as ordinary ones, compatibility forms resolved (NFKC); null stays null."""
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return run(text)

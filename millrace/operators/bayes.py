@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.joins import broadcast_within
+
+#: Classes up to which the class list is broadcast; more of them are joined by shuffle.
+CLASSES = 10_000
+
 
 def term_counts(tokens: DataFrame, cat: str, doc: str) -> DataFrame:
     """(cat, doc, term, f)."""
@@ -29,7 +34,7 @@ def multinomial_train(counts: DataFrame, cat: str, doc: str) -> tuple[DataFrame,
     return per_term, classes.select(cat, "n_c", (F.col("docs") / total).alias("prior"))
 
 
-def multinomial_score(test: DataFrame, per_term: DataFrame, classes: DataFrame, cat: str, doc: str, broadcast_classes: int = 10_000) -> DataFrame:
+def multinomial_score(test: DataFrame, per_term: DataFrame, classes: DataFrame, cat: str, doc: str) -> DataFrame:
     """(doc, cat, score): sum of f * ln((n_ci + 1) / (n_c + a)) + ln prior, a being the number of distinct terms of the document.
 
     Known (term, class) counts join on the term; what all classes have in common, ln 1 for terms a
@@ -37,9 +42,7 @@ def multinomial_score(test: DataFrame, per_term: DataFrame, classes: DataFrame,
     """
     sums = test.groupBy(doc).agg(F.sum("f").alias("_f"), F.count(F.lit(1)).alias("_a"))
     known = test.join(per_term, "term").groupBy(doc, cat).agg(F.sum(F.col("f") * F.log(F.col("n_ci") + 1.0)).alias("_known"))
-    listed = F.broadcast(classes) if classes.limit(broadcast_classes + 1).count() <= broadcast_classes else classes
-    pairs = sums.crossJoin(listed)
-    joined = pairs.join(known, [doc, cat], "left")
+    joined = sums.crossJoin(broadcast_within(classes, CLASSES)).join(known, [doc, cat], "left")
     score = F.coalesce("_known", F.lit(0.0)) - F.col("_f") * F.log(F.col("n_c") + F.col("_a").cast("double")) + F.log("prior")
     return joined.select(doc, cat, F.round(score, 6).alias("score"))
 
@@ -54,7 +57,7 @@ def complement_train(counts: DataFrame, cat: str, doc: str) -> tuple[DataFrame,
     own = scaled.groupBy(cat, "term").agg(F.sum("w").alias("own"))
     every = own.groupBy("term").agg(F.sum("own").alias("every"))
     cats = own.select(cat).distinct()
-    theta = every.crossJoin(F.broadcast(cats)).join(own, ["term", cat], "left").select(cat, "term", (F.col("every") - F.coalesce("own", F.lit(0.0))).alias("theta"))
+    theta = every.crossJoin(broadcast_within(cats, CLASSES)).join(own, ["term", cat], "left").select(cat, "term", (F.col("every") - F.coalesce("own", F.lit(0.0))).alias("theta"))
     return theta, theta.groupBy(cat).agg(F.sum("theta").alias("theta_all"))
 
 
@@ -62,7 +65,7 @@ def complement_score(test: DataFrame, theta: DataFrame, totals: DataFrame, cat:
     """(doc, cat, score): minus the sum of f * ln((theta + 1) / (theta_all + a)); the class whose complement fits worst wins."""
     sums = test.groupBy(doc).agg(F.sum("f").alias("_f"), F.count(F.lit(1)).alias("_a"))
     known = test.join(theta, "term").groupBy(doc, cat).agg(F.sum(F.col("f") * F.log(F.col("theta") + 1.0)).alias("_known"))
-    joined = sums.crossJoin(F.broadcast(totals)).join(known, [doc, cat], "left")
+    joined = sums.crossJoin(broadcast_within(totals, CLASSES)).join(known, [doc, cat], "left")
     score = F.col("_f") * F.log(F.col("theta_all") + F.col("_a").cast("double")) - F.coalesce("_known", F.lit(0.0))
     return joined.select(doc, cat, F.round(score, 6).alias("score"))
 
@@ -92,6 +95,6 @@ def categorical_posterior(df: DataFrame, model: DataFrame, sizes: DataFrame, id:
     total = F.sum("n_label").over(Window.partitionBy(F.lit(0)))
     labels = sizes.select(label, "n_label", F.log(F.col("n_label") / total).alias("_prior"))
     pairs = df.select(id, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features])).alias("x")).select(id, "x.*")
-    every = pairs.crossJoin(F.broadcast(labels)).join(model.select(label, "feature", "value", "p"), [label, "feature", "value"], "left")
+    every = pairs.crossJoin(broadcast_within(labels, CLASSES)).join(model.select(label, "feature", "value", "p"), [label, "feature", "value"], "left")
     p = F.coalesce("p", 1 / (F.col("n_label") + 1.0))
     return every.groupBy(id, label).agg(F.round(F.sum(F.log(p)) + F.first("_prior"), 6).alias("log_posterior"))

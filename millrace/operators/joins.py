@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has at most `rows` rows; one more than these are counted, no more."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def semi_chain(tables: list[DataFrame], keys: list[tuple[str, str]]) -> DataFrame:
     """Rows of the last table whose key is in the table before, that one reduced in the same way.
 

@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from millrace.functions.text import words
 
 
-def tokenise(df: DataFrame, id: str, text: str, cut: Column | None = None) -> DataFrame:
-    """(id, pos, term): words in order, from 0. cut: another expression that gives the words as an array, such as an analyser's."""
+def tokenise(df: DataFrame, id: str, text: str, cut: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, pos, term): words in order, from 0. cut: another expression that gives the words as an array, such as an analyser's."""
     tokens = words(F.col(text)) if cut is None else cut
-    return df.select(id, F.posexplode(tokens).alias("pos", "term")).withColumn("pos", F.col("pos").cast("bigint"))
+    return df.select(id, *keep, F.posexplode(tokens).alias("pos", "term")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def char_offsets(df: DataFrame, id: str, text: str) -> DataFrame:

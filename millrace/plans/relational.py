@@ -352,3 +352,30 @@ def top_orders(spark, d):
     return ranking.top_per_group(load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3).drop("o_totalprice")
 
 
+
+
+@query("SELECT o_orderkey, o_totalprice, o_custkey FROM orders ORDER BY o_custkey, o_totalprice, o_orderkey")
+def sorted_sink(spark, d):
+    """A sorted copy as delimited text, read back."""
+    path = scratch(spark, "sorted")
+    load(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey").orderBy("o_custkey", "o_totalprice", "o_orderkey").write.csv(path)
+    return readers.read_delimited(spark, path, "o_orderkey bigint, o_totalprice double, o_custkey bigint")
+
+
+@query("SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment, c_acctbal > 0 AS positive FROM customer")
+def typed_bytes_roundtrip(spark, d):
+    """Typed columns through big-endian bytes and back."""
+    from millrace.functions.typed_bytes import from_bytes, to_bytes
+
+    kinds = {"c_custkey": "bigint", "c_acctbal": "double", "c_nationkey": "int", "c_mktsegment": "string", "positive": "boolean"}
+    rows = load(spark, d, "customer").withColumn("positive", F.col("c_acctbal") > 0)
+    return rows.select(*[from_bytes(to_bytes(F.col(c), t), t).alias(c) for c, t in kinds.items()])
+
+
+@query("""SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9950) GROUP BY 1
+UNION ALL SELECT c_nationkey, count(*) FROM customer WHERE c_acctbal > 9950 AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier) GROUP BY 1""")
+def setops_diff_both(spark, d):
+    """What either side has and the other lacks."""
+    left = load(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
+    right = load(spark, d, "customer").filter("c_acctbal > 9950").select(F.col("c_nationkey").alias("k"))
+    return left.join(right, "k", "left_anti").unionByName(right.join(left, "k", "left_anti")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))

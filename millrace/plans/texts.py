@@ -166,8 +166,7 @@ scores AS (SELECT s.doc_id, c.cat, round(coalesce(k, 0) - ff * ln(n_c + a) + ln(
 
 def _split(spark, d):
     docs = load(spark, d, "documents").filter("lang is not null")
-    tokens = search.tokenise(docs, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id")
-    counts = bayes.term_counts(tokens, "lang", "doc_id")
+    counts = bayes.term_counts(search.tokenise(docs, "doc_id", "text", keep=("lang",)), "lang", "doc_id")
     train = counts.filter("doc_id % 2 = 1").withColumnRenamed("lang", "cat")
     return train, counts.filter("doc_id % 2 = 0").select("doc_id", "term", "f"), docs.filter("doc_id % 2 = 0").select("doc_id", "lang")
 

@@ -107,3 +107,15 @@ def _next(fs, folder) -> int:
     if not fs.exists(folder):
         return 0
     return 1 + max((int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)), default=-1)
+
+
+def produce(spark: SparkSession, per_second: int, rows: int, path: str, checkpoint: str) -> None:
+    """Write at least `rows` numbered messages (key, value, timestamp) at a rate to a folder, then stop; keys are value % 1000."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    messages = rate.select((F.col("value") % 1000).cast("string").alias("key"), "value", "timestamp")
+    q = messages.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
+    try:
+        while q.isActive and sum(p["numInputRows"] for p in q.recentProgress) < rows:
+            q.awaitTermination(1)
+    finally:
+        q.stop()
