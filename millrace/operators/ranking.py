@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scan import with_positions
+
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The k first rows of each group with their rank; Spark keeps only k a group before the shuffle."""
@@ -35,4 +37,5 @@ def by_number_in_name(df: DataFrame, name: str) -> DataFrame:
     number = F.expr(f"try_cast(substring_index({name}, '-', -1) AS BIGINT)")
     prefix = F.when(F.instr(F.col(name), "-") > 0, F.expr(f"substring({name}, 1, length({name}) - length(substring_index({name}, '-', -1)) - 1)")).otherwise(F.col(name))
     rows = df.select(name, number.alias("number"), prefix.alias("prefix"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("number"), "prefix", name)).cast("bigint"))
+    ranked = with_positions(rows, F.coalesce("number", F.lit(2**63 - 1)), [F.asc_nulls_last("number"), F.col("prefix"), F.col(name)], "rank")
+    return ranked.withColumn("rank", F.col("rank") + 1)

@@ -22,7 +22,7 @@ def late_scan(df: DataFrame, key: str, predicates: list[Predicate], columns: lis
     return df.select(key, *[c for c in columns if c != key]).join(keys, key, "left_semi").select(*columns)
 
 
-def with_positions(df: DataFrame, bucket: Column, order: list[str], name: str = "pos") -> DataFrame:
+def with_positions(df: DataFrame, bucket: Column, order: list[str | Column], name: str = "pos") -> DataFrame:
     """Number the rows from 0 in the given order, without bringing them into one task.
 
     bucket must not decrease along the order; rows are numbered within their bucket, and the counts

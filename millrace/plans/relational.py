@@ -282,7 +282,7 @@ def integer_hashes(spark, d):
     return load(spark, d, "orders").select("o_orderkey", shift_xor(k).alias("mixed"), shift_add(k, c).alias("shifted"), two_multipliers(k, c).alias("multiplied"))
 
 
-@query("""SELECT o_orderkey, CAST(('0x' || substr(md5(unhex(lpad(to_hex(o_orderkey), 8, '0'))), 29, 4)) AS INTEGER) AS tail FROM orders""")
+@query("""SELECT o_orderkey, CAST(('0x' || substr(md5(unhex(lpad(to_hex(o_orderkey), 8, '0'))), 29, 4)) AS INTEGER) AS tail FROM orders""", "md5_tail")
 def md5_tail_bucket(spark, d):
     return load(spark, d, "orders").select("o_orderkey", md5_tail(F.col("o_orderkey")).alias("tail"))
 

@@ -96,7 +96,7 @@ def gap_encode(spark, d):
 
 
 @query("""WITH g AS (SELECT l_partkey, l_orderkey - lag(l_orderkey, 1, 0) OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS gap FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem))
-SELECT l_partkey, count(*) AS n, CAST(sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 WHEN gap < 268435456 THEN 4 ELSE 5 END) AS BIGINT) AS bytes FROM g GROUP BY l_partkey""")
+SELECT l_partkey, count(*) AS n, CAST(sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 WHEN gap < 268435456 THEN 4 ELSE 5 END) AS BIGINT) AS bytes FROM g GROUP BY l_partkey""", "vbyte_size")
 def vbyte_size_of_lists(spark, d):
     gaps = timeseries.gaps(load(spark, d, "lineitem").withColumnRenamed("l_orderkey", "value"), "l_partkey", "value")
     return gaps.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.sum(vbyte_size(F.col("gap"))).cast("bigint").alias("bytes"))
