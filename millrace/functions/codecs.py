@@ -38,24 +38,21 @@ def vbyte_last_decode(data: bytes) -> list[int]:
 
 
 def vbyte_more(xs: list[int]) -> bytes:
-    """Seven bits a byte, lowest first; the low bit tells whether another byte follows."""
+    """Seven bits a byte, highest first; the low bit tells whether another byte follows."""
     out = bytearray()
     for x in xs:
-        while x > 127:
-            out.append((x & 127) << 1 | 1)
-            x >>= 7
-        out.append(x << 1)
+        groups = max(1, -(-x.bit_length() // 7))
+        out += bytes((x >> 7 * g & 127) << 1 | (g > 0) for g in reversed(range(groups)))
     return bytes(out)
 
 
 def vbyte_more_decode(data: bytes) -> list[int]:
-    out, x, shift = [], 0, 0
+    out, x = [], 0
     for b in data:
-        x |= b >> 1 << shift
-        shift += 7
+        x = x << 7 | b >> 1
         if not b & 1:
             out.append(x)
-            x, shift = 0, 0
+            x = 0
     return out
 
 

@@ -1,4 +1,7 @@
-"""Integer hash functions as expressions on BIGINT, kept within 32 bits so that nothing overflows."""
+"""Integer hash functions as expressions on BIGINT.
+
+Inputs are 32-bit integers; with up to four parts nothing leaves 64 bits.
+"""
 
 from __future__ import annotations
 
@@ -7,36 +10,32 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MASK = 0xFFFFFFFF
-
-
-def _low(x: Column) -> Column:
-    return x.bitwiseAND(F.lit(MASK).cast("bigint"))
+# Starts and factors of the hash functions.
+START_37, FACTOR_37 = 17, 37
+START_SHIFT_ADD = 1315423911
+FIRST_FACTOR, NEXT_FACTOR = 63689, 378551
 
 
 def hash37(*parts: Column) -> Column:
     """Start at 17, times 37 plus each part."""
-    return reduce(lambda h, p: _low(h * 37 + p.cast("bigint")), parts, F.lit(17).cast("bigint"))
+    return reduce(lambda h, p: h * FACTOR_37 + p.cast("bigint"), parts, F.lit(START_37).cast("bigint"))
 
 
 def shift_add(*parts: Column) -> Column:
-    """h xor ((h << 5) + (h >> 2) + part), from a fixed start."""
-    return reduce(lambda h, p: _low(h.bitwiseXOR(_low(F.shiftleft(h, 5) + F.shiftright(h, 2) + p.cast("bigint")))), parts, F.lit(1315423911).cast("bigint"))
+    """h xor ((h << 5) + part + (h >> 2)) for each part, from a fixed start."""
+    return reduce(lambda h, p: h.bitwiseXOR(F.shiftleft(h, 5) + p.cast("bigint") + F.shiftright(h, 2)), parts, F.lit(START_SHIFT_ADD).cast("bigint"))
 
 
-def two_multipliers(*parts: Column) -> Column:
-    """h times a plus part, with a growing by a factor each time."""
-    a, h = 63689, F.lit(0).cast("bigint")
-    for p in parts:
-        h, a = _low(_low(h) * a + p.cast("bigint")), a * 378551 & 0x7FFFFFFF
-    return h
+def two_factors(first: Column, second: Column) -> Column:
+    """first times the next factor plus second; the factor is the product of the two, as a signed 32-bit number."""
+    factor = (FIRST_FACTOR * NEXT_FACTOR + 2**31) % 2**32 - 2**31
+    return first.cast("bigint") * factor + second.cast("bigint")
 
 
-def shift_xor(x: Column) -> Column:
-    """Mix the bits of one number by shifts."""
-    h = _low(x.cast("bigint"))
-    h = h.bitwiseXOR(F.shiftright(h, 20)).bitwiseXOR(F.shiftright(h, 12))
-    return h.bitwiseXOR(F.shiftright(h, 7)).bitwiseXOR(F.shiftright(h, 4))
+def shift_xor(*parts: Column) -> Column:
+    """(h << 5) xor (h >> 27) xor the lower 16 bits of each part moved right by 0, 8, 16 and 24 bits, from 0."""
+    pieces = [F.shiftright(p.cast("int"), 8 * j).bitwiseAND(F.lit(0xFFFF)).cast("bigint") for p in parts for j in range(4)]
+    return F.aggregate(F.array(*pieces), F.lit(0).cast("bigint"), lambda h, c: F.shiftleft(h, 5).bitwiseXOR(F.shiftright(h, 27)).bitwiseXOR(c))
 
 
 def md5_tail(x: Column) -> Column:

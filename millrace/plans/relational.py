@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import epoch_day, yyyymmdd
-from millrace.functions.hashing import hash37, md5_tail, shift_add, shift_xor, two_multipliers
+from millrace.functions.hashing import hash37, md5_tail, shift_add, shift_xor, two_factors
 from millrace.functions.predicates import COMPARATORS, Predicate, parse_range
 from millrace.operators import joins, keyrange, ranking, scan
 from millrace.plans import q3
@@ -265,7 +265,7 @@ def zname_order(spark, d):
 # ---- scalar functions
 
 
-@query("""SELECT l_orderkey % 16 AS r, count(*) AS n, CAST(sum(((17 * 37 + l_orderkey) * 37 + l_partkey) & 4294967295) AS BIGINT) AS sum_hash FROM lineitem GROUP BY l_orderkey % 16""")
+@query("""SELECT l_orderkey % 16 AS r, count(*) AS n, CAST(sum((17 * 37 + l_orderkey) * 37 + l_partkey) AS BIGINT) AS sum_hash FROM lineitem GROUP BY l_orderkey % 16""")
 def hash37_bucket(spark, d):
     h = hash37(F.col("l_orderkey"), F.col("l_partkey"))
     return load(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 16).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("sum_hash"))
@@ -273,13 +273,13 @@ def hash37_bucket(spark, d):
 
 
 
-@query("""WITH a AS (SELECT o_orderkey, o_custkey, xor(xor(o_orderkey, o_orderkey >> 20), o_orderkey >> 12) AS h,
-xor(1315423911::BIGINT, (1315423911::BIGINT * 32 + (1315423911::BIGINT >> 2) + o_orderkey) & 4294967295) & 4294967295 AS s FROM orders)
-SELECT o_orderkey, xor(xor(h, h >> 7), h >> 4) AS mixed, xor(s, (s * 32 + (s >> 2) + o_custkey) & 4294967295) & 4294967295 AS shifted,
-(o_orderkey * ((63689::BIGINT * 378551) & 2147483647) + o_custkey) & 4294967295 AS multiplied FROM a""")
+@query(f"""SELECT o_orderkey, xor(1315423911::BIGINT, 1315423911::BIGINT * 32 + o_orderkey + (1315423911::BIGINT >> 2)) AS shifted,
+o_orderkey * {(63689 * 378551 + 2**31) % 2**32 - 2**31} + o_custkey AS multiplied,
+list_reduce([0::BIGINT, o_orderkey & 65535, (o_orderkey >> 8) & 65535, (o_orderkey >> 16) & 65535, (o_orderkey >> 24) & 65535, o_custkey & 65535, (o_custkey >> 8) & 65535, (o_custkey >> 16) & 65535, (o_custkey >> 24) & 65535],
+lambda h, c: xor(xor(h << 5, h >> 27), c)) AS mixed FROM orders""")
 def integer_hashes(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return load(spark, d, "orders").select("o_orderkey", shift_xor(k).alias("mixed"), shift_add(k, c).alias("shifted"), two_multipliers(k, c).alias("multiplied"))
+    return load(spark, d, "orders").select("o_orderkey", shift_add(k).alias("shifted"), two_factors(k, c).alias("multiplied"), shift_xor(k, c).alias("mixed"))
 
 
 @query("""SELECT o_orderkey, CAST(('0x' || substr(md5(unhex(lpad(to_hex(o_orderkey), 8, '0'))), 29, 4)) AS INTEGER) AS tail FROM orders""", "md5_tail")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.functions.codecs import CODECS, decode, encode, vbyte_last, vbyte_last_decode, vbyte_size
 from millrace.functions.dates import epoch_day, yyyymmdd
-from millrace.functions.hashing import hash37, md5_tail
+from millrace.functions.hashing import hash37, md5_tail, shift_add, shift_xor, two_factors
 
 
 def one(spark, expression, **values):
@@ -29,6 +29,7 @@ def test_codecs_round_trip(xs, name):
 def test_variable_bytes():
     assert vbyte_last([5]) == b"\x85" and vbyte_last([130]) == b"\x01\x82"
     assert vbyte_last_decode(b"\x85\x01\x82") == [5, 130]
+    assert CODECS["vbyte_more"][0]([5, 130]) == b"\x0a\x03\x04"
 
 
 def test_small_numbers_shrink():
@@ -46,6 +47,14 @@ def test_codec_columns(spark):
 
 def test_hashes(spark):
     assert one(spark, hash37(F.col("a"), F.col("b")), a=1, b=2) == 23312
+    h = 1315423911
+    assert one(spark, shift_add(F.col("a")), a=9) == h ^ ((h << 5) + 9 + (h >> 2))
+    assert one(spark, two_factors(F.col("a"), F.col("b")), a=3, b=4) == 3 * ((63689 * 378551 + 2**31) % 2**32 - 2**31) + 4
+    h = 0
+    for x in (70000, 5):
+        for j in range(4):
+            h = (h << 5) ^ (h >> 27) ^ (x >> 8 * j & 0xFFFF)
+    assert one(spark, shift_xor(F.col("a"), F.col("b")), a=70000, b=5) == h
     for x in (0, 7, 123456):
         assert one(spark, md5_tail(F.col("x")), x=x) == int.from_bytes(hashlib.md5(struct.pack(">I", x)).digest()[-2:])
 
