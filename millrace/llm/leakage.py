@@ -19,8 +19,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.llm.forms import CASELESS, form_of
 
@@ -31,13 +32,15 @@ SHARD_WORDS, SAMPLE = 400_000, 16
 _WORDS = re.compile(r"[^\W_]+").findall
 _PLAIN = re.compile(r"[\t-\r -~]*").fullmatch
 _CASELESS = str.maketrans(CASELESS)
+_TWINS = re.compile(f"[{''.join(CASELESS)}]").search
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text in one form, without regard to case."""
     if _PLAIN(text):
         return _WORDS(text.lower())
-    return _WORDS(form_of(text).casefold().translate(_CASELESS))
+    text = form_of(text).casefold()
+    return _WORDS(text.translate(_CASELESS) if _TWINS(text) else text)
 
 
 class Phrases:
@@ -225,8 +228,6 @@ def find_leaks(corpus: DataFrame, items: DataFrame, id: str, text: str, item: st
     held = [(row[0], numbers.setdefault(" ".join(words_of(row[1])), len(numbers))) for row in listed]
     shared = spark.sparkContext.broadcast(Phrases([p.split(" ") for p in numbers], words))
     id_type, item_type = corpus.schema[id].dataType, items.schema[item].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     arrow_type = to_arrow_type(id_type)
     found = (
         corpus.select(F.col(id), F.col(text))
@@ -240,8 +241,6 @@ def find_leaks(corpus: DataFrame, items: DataFrame, id: str, text: str, item: st
 def removal_spans(leaks: DataFrame, id: str) -> DataFrame:
     """(id, start, end): the words to remove from each text, overlapping spans of several items merged."""
     flat = leaks.select(id, F.explode("spans").alias("s")).select(id, "s.start", "s.end").distinct()
-    from pyspark.sql import Window
-
     order = Window.partitionBy(id).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begins = flat.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.llm.forms import CASELESS, form_of
 
@@ -34,29 +35,44 @@ MARGINS = [0.02 * i for i in range(1, 26)]
 #: gain ln(subjects) that a word of only one of equally large subjects has; share of the speaking sentences.
 OWN, EVIDENCE, QUARTER = 0.23, 0.45, 0.25
 
-_LINES = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
-_LEAD = re.compile(r"^[\s>*#|-]+")
-_SENTENCES = re.compile(r"(?<=。)|(?<=[.?!])(?=\s|$)|(?<=[぀-ヿ一-鿿][?!])|(?<=[?!])(?=[^\x00-\x7f])")
-_TOKENS = re.compile(r"[A-Za-z0-9]*_\w+|[^\W\d_a-zà-öø-ÿ]*[a-zà-öø-ÿ]+[^\W\d_぀-ヿ一-鿿]*|\d+|[ぁ-ゟ]+|[゠-ヿ]+|[一-鿿々]+|[^\W\d_]+")
+_LINES = re.compile("\r\n|[\r\x0b\x0c\x85  ]")
+_LEAD = re.compile(r"^[ \t>*#|-]+", re.MULTILINE)
+#: A line that ends without a stop and goes on in small letters in the next.
+_GOES_ON = re.compile(r"(?<=[^\n.?!。:])\n(?=[a-zß-öø-ÿ])")
+_PLAIN = re.compile(r"[\t-\r -~]*").fullmatch
+_DIGITS = re.compile(r"\d+")
+#: Words (identifiers, Latin and like words, runs of one Japanese script, other letters), numbers, and ends of sentences.
+_TOKENS = re.compile(
+    r"[A-Za-z0-9]*_\w+|[^\W\d_a-zà-öø-ÿ]*[a-zà-öø-ÿ]+[^\W\d_぀-ヿ一-鿿]*|\d+|[ぁ-ゟ]+|[゠-ヿ]+|[一-鿿々]+|[^\W\d_]+"
+    r"|[\n。]|[.?!](?=\s|$)|(?<=[぀-ヿ一-鿿])[?!]|[?!](?=[^\x00-\x7f])"
+).findall
+_ENDS = frozenset("\n。.?!")
+_KEPT_LINE = ""
 _CASELESS = str.maketrans(CASELESS)
+_TWINS = re.compile(f"[{''.join(CASELESS)}]").search
 UNKNOWN, NUMBER, START = 0, 1, 2
 
 
 def sentences_of(text: str) -> list[list[str]]:
-    """The words of each sentence that has any, in one form and small letters; numbers are '0'. Runs of one Japanese script are words."""
-    lines: list[str] = []
-    for line in _LINES.split(text):
-        line = _LEAD.sub("", form_of(line))
-        if lines and line[:1].islower() and lines[-1] and lines[-1][-1] not in ".?!。:":
-            lines[-1] += " " + line  # a sentence that goes on in the next line
-        else:
-            lines.append(line)
-    found = []
-    for line in lines:
-        for sentence in _SENTENCES.split(line):
-            words = ["0" if w[0].isdigit() else w for w in _TOKENS.findall(sentence.casefold().translate(_CASELESS))]
-            if words:
-                found.append(words)
+    """The words of each sentence that has any, in one form and small letters; numbers are '0'. Runs of one Japanese script are words.
+
+    A line end ends a sentence unless the next line goes on in small letters.
+    """
+    text = _LINES.sub("\n", text)
+    if not _PLAIN(text):
+        text = form_of(text.replace("\n", _KEPT_LINE)).replace(_KEPT_LINE, "\n")
+    text = _DIGITS.sub("0", _GOES_ON.sub(" ", _LEAD.sub("", text))).casefold()
+    if _TWINS(text):
+        text = text.translate(_CASELESS)
+    found, words = [], []
+    for token in _TOKENS(text):
+        if token not in _ENDS:
+            words.append(token)
+        elif words:
+            found.append(words)
+            words = []
+    if words:
+        found.append(words)
     return found
 
 
@@ -184,8 +200,8 @@ def accepted(gains: np.ndarray, lengths: np.ndarray, documents: np.ndarray, n: i
     best = gains.argmax(axis=1)
     most = gains.max(axis=1, initial=-np.inf)
     speaks = (most > margin) & (most * lengths > evidence)
-    shares = np.zeros((n, gains.shape[1]))
-    np.add.at(shares, (documents[speaks], best[speaks]), 1)
+    k = gains.shape[1]
+    shares = np.bincount(documents[speaks] * k + best[speaks], minlength=n * k).reshape(n, k)
     total = shares.sum(axis=1, keepdims=True)
     return (total > 0) & (shares >= QUARTER * total)
 
@@ -278,7 +294,7 @@ def build(names, words, counts, pairs, everywhere, together, sentences, document
     alone = np.log(max(2, truth.any(axis=0).sum()))
     word_gain[word_gain.max(axis=1) < OWN * alone] = 0
     pair_gain[pair_gain.max(axis=1, initial=0) < OWN * alone] = 0
-    model = Model(names, words, word_gain, pair_gain, 0.0, EVIDENCE * alone)
+    model = Model(names, words, word_gain.astype(np.float32), pair_gain.astype(np.float32), 0.0, EVIDENCE * alone)
     gains, lengths = model.gains(sentences, documents), lengths_of(sentences)
     best = -1.0
     for margin in MARGINS:
@@ -305,8 +321,6 @@ def subject_areas(corpus: DataFrame, labels: DataFrame, subjects: DataFrame, id:
     repeat their result. Labels are compared without blanks at the ends and case; null and unknown
     ones don't count. Without usable labels nothing is accepted.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     model = corpus.sparkSession.sparkContext.broadcast(fit(corpus, labels, subjects, id, text, subject, language, bound))
     kind = corpus.schema[id].dataType
     arrow = to_arrow_type(kind)
