@@ -379,3 +379,28 @@ def setops_diff_both(spark, d):
     left = load(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
     right = load(spark, d, "customer").filter("c_acctbal > 9950").select(F.col("c_nationkey").alias("k"))
     return left.join(right, "k", "left_anti").unionByName(right.join(left, "k", "left_anti")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_partkey < 100 AND (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 50 = 7) GROUP BY 1, 2")
+def composite_lookup(spark, d):
+    """Rows by a list of two-part keys."""
+    items = load(spark, d, "lineitem")
+    keys = items.filter("l_orderkey % 50 = 7").select("l_partkey", "l_suppkey").distinct()
+    return items.filter("l_partkey < 100").join(keys, ["l_partkey", "l_suppkey"], "left_semi").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key, p_partkey * 64 AS \"offset\", p_size AS length FROM part WHERE p_partkey * 64 >= 1000")
+def file_ranges(spark, d):
+    """Index lines of key, offset and length, as ranges."""
+    lines = load(spark, d, "part").select(F.concat_ws("|", "p_partkey", F.col("p_partkey") * 64, "p_size").alias("value"))
+    return keyrange.parse_ranges(lines).filter("range.offset >= 1000").select("key", "range.offset", "range.length")
+
+
+@query("SELECT r_name AS label, count(*) AS files, CAST(sum(length(n_name)) AS BIGINT) AS characters FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def labelled_corpus(spark, d):
+    """Files in folders that are their labels."""
+    path = scratch(spark, "corpus")
+    nation = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nation.repartitionByRange(64, "n_nationkey").select(F.col("n_name").alias("value"), "r_name").write.partitionBy("r_name").option("maxRecordsPerFile", 1).text(path)
+    read = readers.read_labelled(spark, path).withColumn("label", F.url_decode(F.split("label", "=")[1]))
+    return read.groupBy("label").agg(F.count(F.lit(1)).alias("files"), F.sum(F.char_length(F.regexp_replace("text", "\n", ""))).alias("characters"))

@@ -170,3 +170,41 @@ def _ratings(spark, d):
 def als_scores(spark, d):
     """Implicit ALS over all events, and the ten best items of each user."""
     return recsys.top_items(recsys.fit_implicit(_ratings(spark, d).groupBy("user", "item").agg(F.sum("rating").alias("rating"))), 10)
+
+
+@query("SELECT DISTINCT l_partkey, l_orderkey AS value FROM lineitem")
+def gap_decode(spark, d):
+    """Gap lists added up again."""
+    gaps = timeseries.gaps(load(spark, d, "lineitem").withColumnRenamed("l_orderkey", "value"), "l_partkey", "value")
+    return timeseries.ungap(gaps, "l_partkey", "value")
+
+
+def _log(spark, d, files):
+    """The events as a log of several files, in order of time."""
+    path = scratch(spark, "log")
+    events = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartitionByRange(files, "ts").write.parquet(path)
+    return streams.read_log(spark, path, events.schema, 2)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS messages, CAST(sum(user_id) AS BIGINT) AS sum_user FROM events")
+def stream_consume(spark, d):
+    """The log consumed from its earliest file in micro-batches, each committed after it was written."""
+    out = scratch(spark, "consumed")
+    streams.run_available(_log(spark, d, 6).select("event_id", "user_id"), scratch(spark, "checkpoint"), lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("messages"), F.sum("user_id").alias("sum_user"))
+
+
+@query("SELECT user_id, count(*) AS n, round(max(value), 2) AS most FROM events GROUP BY user_id")
+def stream_keyed_state(spark, d):
+    """Running state per key over micro-batches; the last batch's whole state."""
+    out = scratch(spark, "state")
+    state = _log(spark, d, 4).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 2).alias("most"))
+    streams.run_available(state, scratch(spark, "checkpoint"), lambda df, n: df.write.mode("overwrite").parquet(out), mode="complete")
+    return spark.read.parquet(out)
+
+
+@query("SELECT user_id, k, round(sum(value), 2) AS rating FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events) GROUP BY user_id, k")
+def rating_table(spark, d):
+    """Delimited rating lines parsed and added up per user and item."""
+    return _ratings(spark, d).groupBy(F.col("user").cast("bigint").alias("user_id"), F.col("item").alias("k")).agg(F.round(F.sum("rating"), 2).alias("rating"))

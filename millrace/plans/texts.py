@@ -56,10 +56,18 @@ def phrase_ordinal(spark, d):
     return search.phrase(_tokens(spark, d), "doc_id", "hash", "table")
 
 
-@query("""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[ \\t\\r\\n]*[^ \\t\\r\\n]+') AS ps FROM documents WHERE text IS NOT NULL),
+_PLACED = """p AS (SELECT doc_id, regexp_extract_all(text, '[ \\t\\r\\n]*[^ \\t\\r\\n]+') AS ps FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, unnest(range(len(ps))) AS pos, unnest(ps) AS piece FROM p),
-y AS (SELECT doc_id, pos, lower(regexp_replace(piece, '^[ \\t\\r\\n]+', '')) AS term, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) - length(regexp_replace(piece, '^[ \\t\\r\\n]+', '')) AS o FROM x)
-SELECT a.doc_id, CAST(a.o AS BIGINT) AS at FROM y a JOIN y b ON a.doc_id = b.doc_id AND b.o = a.o + 5 WHERE a.term = 'hash' AND b.term = 'table'""")
+y AS (SELECT doc_id, pos, lower(regexp_replace(piece, '^[ \\t\\r\\n]+', '')) AS term, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) - length(regexp_replace(piece, '^[ \\t\\r\\n]+', '')) AS BIGINT) AS o FROM x)"""
+
+
+@query(f"WITH {_PLACED} SELECT doc_id, pos, term, o AS \"offset\" FROM y")
+def char_tokens(spark, d):
+    """Words between blanks with the character offset they begin at."""
+    return search.char_offsets(load(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {_PLACED} SELECT a.doc_id, a.o AS at FROM y a JOIN y b ON a.doc_id = b.doc_id AND b.o = a.o + 5 WHERE a.term = 'hash' AND b.term = 'table'")
 def phrase_char(spark, d):
     """Adjacency by character offset with one blank between the words."""
     t = search.char_offsets(load(spark, d, "documents"), "doc_id", "text")
@@ -153,6 +161,26 @@ def prefix_suggest(spark, d):
     return fuzzy.prefix_index(load(spark, d, "part").select(F.col("p_name").alias("entry"), F.col("p_size").alias("score"), "p_partkey"), "entry", "score", "p_partkey")
 
 
+@query(f"""WITH {_ENTRIES}, p AS (SELECT substr(entry, 1, CAST(i AS BIGINT)) AS prefix, entry, score, ord FROM e, range(1, 100) t(i) WHERE i <= length(entry))
+SELECT rank, entry, score FROM (SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY score DESC, ord) AS rank, entry, score FROM p) WHERE prefix = (SELECT substr(min(p_name), 1, 2) FROM part) AND rank <= 10""")
+def suggest_lookup(spark, d):
+    """Suggestions for the first two letters of the first name."""
+    part = load(spark, d, "part")
+    prefix = part.agg(F.substring(F.min("p_name"), 1, 2)).first()[0] or ""
+    return fuzzy.suggest(prefix_suggest(spark, d), prefix).select("rank", "entry", "score")
+
+
+@query(f"""WITH {_NAMES}, g AS (SELECT DISTINCT word, substr(word, CAST(i AS BIGINT), 2) AS gram FROM names, range(1, 40) t(i) WHERE i < length(word)),
+c AS (SELECT a.word AS a, b.word AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.word < b.word GROUP BY ALL)
+SELECT a, b, common, round(common / (length(a) + length(b) - 2 - common), 6) AS jaccard FROM c""")
+def jaccard_pairs(spark, d):
+    """Pairs of name words that share bigrams, with the estimate of their similarity."""
+    grams = fuzzy.gram_index(_names(spark, d), "word")
+    a, b = grams.select("gram", F.col("word").alias("a")), grams.select("gram", F.col("word").alias("b"))
+    common = a.join(b, "gram").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    return common.withColumn("jaccard", F.round(tx.jaccard_estimate(F.col("common"), F.col("a"), F.col("b")), 6))
+
+
 # ---- naive Bayes: documents by language; odd documents train, even ones are tested
 
 _COUNTS = f"""{_TOKENS}, counts AS (SELECT lang, doc_id, term, count(*) AS f FROM tokens WHERE lang IS NOT NULL GROUP BY lang, doc_id, term),
@@ -233,3 +261,18 @@ def cat_nb_posterior(spark, d):
 
 def _rows(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("label"), F.col("o_orderpriority").alias("p"), (F.col("o_custkey") % 4).cast("string").alias("q"))
+
+
+@query(f"{_MNB} SELECT doc_id, cat FROM (SELECT doc_id, cat, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cat) AS rank FROM scores) WHERE rank = 1")
+def nb_decision(spark, d):
+    """The best class of each document."""
+    return bayes.ranked(_mnb(spark, d)[0], "doc_id", "cat").filter("rank = 1").select("doc_id", "cat")
+
+
+@query()
+def perceptron_by_flag(spark, d):
+    """A step unit per return flag that learns from quantity and discount whether an item is dear, on means per line number and supplier."""
+    from millrace.operators.small_ml import perceptron
+
+    means = load(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg((F.avg("l_quantity") / 50).alias("quantity"), F.avg("l_discount").alias("discount"), (F.avg("l_extendedprice") > 38000).cast("double").alias("dear"))
+    return perceptron(means, "l_returnflag", ["quantity", "discount"], "dear", "l_suppkey", epochs=20).select("l_returnflag", F.transform("weights", lambda w: F.round(w, 9)).alias("weights"))
