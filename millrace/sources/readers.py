@@ -69,3 +69,9 @@ def parse_json(df: DataFrame, column: str, schema: str) -> DataFrame:
 def write_sorted(df: DataFrame, path: str, order: list[str], by_range: bool = True) -> None:
     """A copy sorted on `order`, so that Parquet statistics prune range and point reads."""
     (df.repartitionByRange(*order) if by_range else df).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """A table bucketed and sorted on a key: joins and aggregates of such tables on it need no shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)

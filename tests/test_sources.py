@@ -62,3 +62,13 @@ def test_small_learners(spark):
     assert all((t[0] * a + t[1] * b + t[2] >= 0) == bool(y) for _, _, a, b, y in rows)
     net = small_ml.network(df.withColumn("y", ((F.col("a") + F.col("b")) % 2)), ["a", "b"], "y", hidden=4)
     assert net.transform(df).count() == 40
+
+
+def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
+    a = readers.write_bucketed(spark.range(1000).withColumnRenamed("id", "k"), "bucketed_a", str(tmp_path / "a"), "k", 4)
+    b = readers.write_bucketed(spark.range(0, 2000, 2).withColumnRenamed("id", "k"), "bucketed_b", str(tmp_path / "b"), "k", 4)
+    joined = a.hint("merge").join(b, "k").groupBy("k").count()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 500
+    for t in ("bucketed_a", "bucketed_b"):
+        spark.sql(f"DROP TABLE {t}")
