@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.forms import caseless, one_form
+from millrace.session import ensure_checkpoints
 
 #: Most index rows that are broadcast; a longer list is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -102,7 +103,8 @@ def map_to_list(df: DataFrame, listed: DataFrame, id: str, text: str, key: str,
     index_rows = forms.count() * (9 * len(MOVES) + 1)  # at most
     candidates = pieces.join(F.broadcast(index) if index_rows <= BROADCAST_ROWS else index, ["size", "place", "piece"])
     verified = candidates.select("typed", "key", slips(F.col("typed"), F.col("form")).alias("slips"), (F.length("form") < least).alias("short")).filter("slips is not null and (slips = 0 or not short)")
-    best = verified.groupBy("typed").agg(F.min(F.struct("slips", "key")).alias("m")).select("typed", F.col("m.key").alias("key"))
+    ensure_checkpoints(df.sparkSession)  # both joins below read the matches; they are found once
+    best = verified.groupBy("typed").agg(F.min(F.struct("slips", "key")).alias("m")).select("typed", F.col("m.key").alias("key")).checkpoint()
     none = F.lit(-1).cast(dict(listed.dtypes)[key])
     matched = typed.join(best, "typed").select("_id", "key")
     unmatched = typed.join(best, "typed", "left_anti").select("_id", none.alias("key"))
