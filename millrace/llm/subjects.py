@@ -35,7 +35,7 @@ MARGINS = [0.02 * i for i in range(1, 26)]
 #: gain ln(subjects) that a word of only one of equally large subjects has; share of the speaking sentences.
 OWN, EVIDENCE, QUARTER = 0.23, 0.45, 0.25
 
-_LINES = re.compile("\r\n|[\r\x0b\x0c\x85  ]")
+_OTHER_LINE_ENDS = ("\r\n", "\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029")
 _LEAD = re.compile(r"^[ \t>*#|-]+", re.MULTILINE)
 #: A line that ends without a stop and goes on in small letters in the next.
 _GOES_ON = re.compile(r"(?<=[^\n.?!。:])\n(?=[a-zß-öø-ÿ])")
@@ -46,6 +46,8 @@ _TOKENS = re.compile(
     r"[A-Za-z0-9]*_\w+|[^\W\d_a-zà-öø-ÿ]*[a-zà-öø-ÿ]+[^\W\d_぀-ヿ一-鿿]*|\d+|[ぁ-ゟ]+|[゠-ヿ]+|[一-鿿々]+|[^\W\d_]+"
     r"|[\n。]|[.?!](?=\s|$)|(?<=[぀-ヿ一-鿿])[?!]|[?!](?=[^\x00-\x7f])"
 ).findall
+#: The same for texts in small ASCII letters.
+_PLAIN_TOKENS = re.compile(r"[a-z0-9]*_\w+|[a-z]+|\d+|\n|[.?!](?=\s|$)").findall
 _ENDS = frozenset("\n。.?!")
 _KEPT_LINE = ""
 _CASELESS = str.maketrans(CASELESS)
@@ -58,14 +60,16 @@ def sentences_of(text: str) -> list[list[str]]:
 
     A line end ends a sentence unless the next line goes on in small letters.
     """
-    text = _LINES.sub("\n", text)
+    for end in _OTHER_LINE_ENDS:
+        text = text.replace(end, "\n")
     if not _PLAIN(text):
         text = form_of(text.replace("\n", _KEPT_LINE)).replace(_KEPT_LINE, "\n")
     text = _DIGITS.sub("0", _GOES_ON.sub(" ", _LEAD.sub("", text))).casefold()
-    if _TWINS(text):
+    plain = text.isascii()
+    if not plain and _TWINS(text):
         text = text.translate(_CASELESS)
     found, words = [], []
-    for token in _TOKENS(text):
+    for token in (_PLAIN_TOKENS if plain else _TOKENS)(text):
         if token not in _ENDS:
             words.append(token)
         elif words:
