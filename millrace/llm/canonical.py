@@ -39,7 +39,7 @@ def listed_forms(listed: DataFrame, key: str, entry: str) -> DataFrame:
 def segment_index(forms: DataFrame, least: int) -> DataFrame:
     """(key, form, size, place, piece): where each segment may stand (from 0) in a typed form of `size` characters.
 
-    The whole form is a piece too, at place -1; forms shorter than `least` have no other.
+    The whole form is a piece too; forms shorter than `least` have no other.
     """
     n = F.length("form")
     first, second = (F.floor((F.col("n") + 1) / 3) + F.col("o")).cast("int"), (F.floor((2 * F.col("n") + 2) / 3) + F.col("o")).cast("int")
@@ -49,18 +49,17 @@ def segment_index(forms: DataFrame, least: int) -> DataFrame:
     moves = F.explode(F.array(*[F.struct(F.lit(d).alias("longer"), F.lit(m).alias("shift")) for d, m in MOVES]))
     placed = cut.select("key", "form", (F.col("n")).alias("n"), "s.*", moves.alias("m")).select("*", "m.*").filter("start + shift >= 0 and end + shift <= n + longer")
     parts = placed.select("key", "form", (F.col("n") + F.col("longer")).alias("size"), (F.col("start") + F.col("shift")).alias("place"), F.col("form").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
-    whole = forms.select("key", "form", n.alias("size"), F.lit(-1).alias("place"), F.col("form").alias("piece"))
+    whole = forms.select("key", "form", n.alias("size"), F.lit(0).alias("place"), F.col("form").alias("piece"))
     return parts.distinct().unionByName(whole)
 
 
 def typed_pieces(forms: DataFrame) -> DataFrame:
     """(typed, size, place, piece): every piece of a typed form that the index may hold."""
     n = F.length("typed")
-    lengths = F.sequence(F.greatest(F.lit(1), F.floor((n - 2) / 3).cast("int") - 1), F.floor((n + 2) / 3).cast("int") + 2)
-    at = lambda w: F.transform(F.sequence(F.lit(0), n - w), lambda p: F.struct(p.alias("place"), F.col("typed").substr(p + 1, w).alias("piece")))
-    parts = F.flatten(F.transform(F.filter(lengths, lambda w: w <= n), at))
-    whole = F.struct(F.lit(-1).alias("place"), F.col("typed").alias("piece"))
-    return forms.filter(n > 0).select("typed", n.alias("size"), F.explode(F.array_append(parts, whole)).alias("p")).select("typed", "size", "p.*")
+    lengths = F.sequence(F.greatest(F.lit(1), F.floor((n - 2) / 3).cast("int") - 1), F.least(n, F.floor((n + 2) / 3).cast("int") + 2))
+    sized = forms.filter(n > 0).select("typed", n.alias("size"), F.explode(F.array_union(lengths, F.array(n))).alias("w"))
+    placed = sized.select("typed", "size", "w", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("w"))).alias("place"))
+    return placed.select("typed", "size", "place", F.col("typed").substr(F.col("place") + 1, F.col("w")).alias("piece"))
 
 
 def _swaps(s: Column) -> Column:
