@@ -98,8 +98,10 @@ def map_to_list(df: DataFrame, listed: DataFrame, id: str, text: str, key: str,
 
     forms = listed_forms(listed, key, entry)
     index = segment_index(forms, least)
-    pieces = typed_pieces(typed.select("typed").distinct())
-    index_rows = forms.count() * (9 * len(MOVES) + 1)  # at most
+    listed_rows, longest = forms.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("form")), F.lit(0))).first()
+    index_rows = listed_rows * (9 * len(MOVES) + 1)  # at most
+    # a value that is longer than every entry by more than two can't be two slips from one
+    pieces = typed_pieces(typed.select("typed").filter(F.length("typed") <= longest + 2).distinct())
     candidates = pieces.join(F.broadcast(index) if index_rows <= BROADCAST_ROWS else index, ["size", "place", "piece"])
     verified = candidates.select("typed", "key", slips(F.col("typed"), F.col("form")).alias("slips"), (F.length("form") < least).alias("short")).filter("slips is not null and (slips = 0 or not short)")
     ensure_checkpoints(df.sparkSession)  # both joins below read the matches; they are found once
