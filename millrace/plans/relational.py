@@ -72,6 +72,13 @@ def positional_join(spark, d):
     return joins.by_position(left, right).select("pos", F.concat_ws(",", "o_orderkey", "o_custkey").alias("line"))
 
 
+@query(f"SELECT pos, concat_ws(',', o_orderkey, o_custkey) AS line FROM ({_POS})")
+def positional_join_all(spark, d):
+    """Two columns of every order put side by side again."""
+    rows = _wide(spark, d)
+    return joins.by_position(rows.select("pos", "o_orderkey"), rows.select("pos", "o_custkey")).select("pos", F.concat_ws(",", "o_orderkey", "o_custkey").alias("line"))
+
+
 @query("SELECT count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS sum_partkey, min(l_suppkey) AS least, max(l_suppkey) AS most FROM lineitem")
 def column_scan(spark, d):
     return load(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"), F.sum("l_partkey").alias("sum_partkey"), F.min("l_suppkey").alias("least"), F.max("l_suppkey").alias("most"))
@@ -389,6 +396,14 @@ def composite_lookup(spark, d):
     return items.filter("l_partkey < 100").join(keys, ["l_partkey", "l_suppkey"], "left_semi").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1, 2")
+def composite_lookup_all(spark, d):
+    """All items of every part and supplier that had an item sent back."""
+    items = load(spark, d, "lineitem")
+    keys = items.filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
+    return items.join(keys, ["l_partkey", "l_suppkey"], "left_semi").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT CAST(p_partkey AS VARCHAR) AS key, p_partkey * 64 AS \"offset\", p_size AS length FROM part WHERE p_partkey * 64 >= 1000")
 def file_ranges(spark, d):
     """Index lines of key, offset and length, as ranges."""
