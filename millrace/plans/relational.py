@@ -65,6 +65,14 @@ def positional_read(spark, d):
     return scan.at_positions(rows, wanted).select("pos", "o_orderkey")
 
 
+@query(f"SELECT pos, o_orderkey FROM ({_POS}) WHERE pos % 97 = 5")
+def positional_read_all(spark, d):
+    """Every 97th row up to the last one."""
+    rows = _wide(spark, d)
+    wanted = spark.range(5, max(load(spark, d, "orders").count(), 5), 97).withColumnRenamed("id", "pos")
+    return scan.at_positions(rows, wanted).select("pos", "o_orderkey")
+
+
 @query(f"SELECT pos, concat_ws(',', o_orderkey, o_custkey) AS line FROM ({_POS}) WHERE o_custkey < 100")
 def positional_join(spark, d):
     rows = _wide(spark, d)
@@ -200,6 +208,16 @@ def point_lookup_list(spark, d):
     return joins.lookup(load(spark, d, "customer"), keys, "c_custkey", "c_nationkey")
 
 
+@query("""SELECT k.key AS c_custkey, coalesce(c_nationkey, -1) AS c_nationkey
+FROM (SELECT unnest(range(0, (SELECT greatest(200000, coalesce(max(c_custkey), 0) + 1) FROM customer), 37)) AS key) k LEFT JOIN customer ON c_custkey = k.key""")
+def point_lookup_all(spark, d):
+    """Every 37th key up to the largest, and to 200,000 at least, so that keys the table lacks are asked for too."""
+    customer = load(spark, d, "customer")
+    largest = customer.agg(F.max("c_custkey")).first()[0] or 0
+    keys = spark.range(0, max(200000, largest + 1), 37).withColumnRenamed("id", "c_custkey")
+    return joins.lookup(customer, keys, "c_custkey", "c_nationkey")
+
+
 @query("SELECT n_nationkey, s.s_suppkey FROM nation CROSS JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9000) s")
 def cross_user_item(spark, d):
     return load(spark, d, "nation").select("n_nationkey").crossJoin(load(spark, d, "supplier").filter("s_acctbal > 9000").select("s_suppkey"))

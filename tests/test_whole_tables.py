@@ -24,3 +24,15 @@ def test_composite_lookup_has_all_parts_and_orders(spark, rows, tmp_path):
 def test_positional_join_has_all_customers(spark, rows, tmp_path):
     d = folder(spark, tmp_path, orders=orders(40))
     assert rows(QUERIES["positional_join_all"](spark, d)) == sorted([(i, f"{i},{i * 7}") for i in range(40)], key=repr)
+
+
+def test_positional_read_strides_to_the_last_row(spark, rows, tmp_path):
+    d = folder(spark, tmp_path, orders=orders(5300))
+    assert rows(QUERIES["positional_read_all"](spark, d)) == sorted([(i, i) for i in range(5, 5300, 97)], key=repr)
+
+
+def test_point_lookup_asks_up_to_the_largest_key(spark, tmp_path):
+    d = folder(spark, tmp_path, customer=([(37, 3), (37 * 6000, 4)], "c_custkey long, c_nationkey int"))
+    got = dict(map(tuple, QUERIES["point_lookup_all"](spark, d).collect()))
+    assert sorted(got) == list(range(0, 37 * 6000 + 1, 37))
+    assert {k: v for k, v in got.items() if v != -1} == {37: 3, 37 * 6000: 4}
