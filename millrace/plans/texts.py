@@ -110,6 +110,12 @@ def normalise_text(spark, d):
     return load(spark, d, "documents").filter("lang = 'en'").select("doc_id", tx.normalise(F.col("text")).alias("text"))
 
 
+@query()
+def normalise_text_all(spark, d):
+    """Texts of every language, and of none. Held against brute force, not SQL: lower() need not be the same in other systems."""
+    return load(spark, d, "documents").select("doc_id", tx.normalise(F.col("text")).alias("text"))
+
+
 _NAMES = "names AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part)"
 
 

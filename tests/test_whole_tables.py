@@ -1,5 +1,6 @@
 """Queries over whole tables: rows beyond a fixed bound, a language or a short list come out too."""
 
+import re
 from datetime import datetime
 
 from millrace.plans.catalogue import QUERIES
@@ -36,3 +37,19 @@ def test_point_lookup_asks_up_to_the_largest_key(spark, tmp_path):
     got = dict(map(tuple, QUERIES["point_lookup_all"](spark, d).collect()))
     assert sorted(got) == list(range(0, 37 * 6000 + 1, 37))
     assert {k: v for k, v in got.items() if v != -1} == {37: 3, 37 * 6000: 4}
+
+
+def normalised(text):
+    return None if text is None else re.sub(r"[ \t\r\n]+", " ", text).strip(" ").lower()
+
+
+def test_normalised_texts_are_of_every_language(spark, rows, tmp_path):
+    made = [(1, " A\t\nB ", "en"), (2, "ÄÖ  ß", "de"), (3, "É", None), (4, None, "fr"), (5, "X\r\n", "EN"), (6, "", "en-EN"), (7, "ΟΔΟΣ \u00a0", "el"), (8, "漢 字", "ja")]
+    d = folder(spark, tmp_path, documents=(made, "doc_id long, text string, lang string"))
+    assert rows(QUERIES["normalise_text_all"](spark, d)) == sorted([(i, normalised(t)) for i, t, _ in made], key=repr)
+
+
+def test_normalised_texts_equal_brute_force(spark, rows):
+    d = "/root/testdata/sf0.01"
+    made = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    assert rows(QUERIES["normalise_text_all"](spark, d)) == sorted([(r.doc_id, normalised(r.text)) for r in made], key=repr)
