@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import jaccard_estimate, prefixes, qgrams
@@ -49,6 +49,34 @@ def correct(queries: DataFrame, words: DataFrame, query: str, word: str, thresho
     return kept.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select(query, word, "distance", "rank")
 
 
+def _segments(length: Column, distance: int) -> Column:
+    """(i, start, size) of the distance + 1 segments of a word of this length, the longer ones last; start counts from 1."""
+    n = F.lit(distance + 1)
+    base, longer = F.floor(length / n).cast("int"), (length % n).cast("int")
+    start = lambda i: i * base + F.greatest(i - (n - longer), F.lit(0)) + 1
+    return F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda i: F.struct(i.alias("i"), start(i).alias("start"), (start(i + 1) - start(i)).alias("size")))
+
+
+def within(words: DataFrame, word: str, distance: int) -> DataFrame:
+    """(a, b, distance): all pairs a < b of distinct words with at most this edit distance. Null words are left out.
+
+    The shorter word is cut into distance + 1 segments. So many edits leave one of them whole, and
+    it then stands in the longer word at its own place moved by `distance` at most. A word too short
+    for this has an empty segment and meets every word of a length that allows the distance.
+    """
+    texts = words.select(F.col(word).alias("w")).filter("w is not null").distinct().withColumn("n", F.char_length("w"))
+    cut = texts.select(F.col("w").alias("s"), "n", F.explode(_segments(F.col("n"), distance)).alias("g"))
+    index = cut.select("s", "n", F.col("g.i").alias("i"), F.expr("substr(s, g.start, g.size)").alias("piece"))
+    lengths = F.sequence(F.greatest(F.col("n") - distance, F.lit(0)), F.col("n"))
+    spread = texts.select("w", F.explode(lengths).alias("n")).select("w", "n", F.explode(_segments(F.col("n"), distance)).alias("g"))
+    starts = F.sequence(F.greatest(F.col("g.start") - distance, F.lit(1)), F.col("g.start") + distance)
+    placed = spread.select("w", "n", "g", F.explode(starts).alias("at"))
+    probe = placed.select("w", "n", F.col("g.i").alias("i"), F.expr("substr(w, at, g.size)").alias("piece")).distinct()
+    # of two words of one length each is the shorter
+    pairs = index.join(probe, ["n", "i", "piece"]).filter("s <> w").select(F.least("s", "w").alias("a"), F.greatest("s", "w").alias("b")).distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b")).filter(F.col("distance") <= distance)
+
+
 def prefix_index(entries: DataFrame, entry: str, score: str, order: str, k: int = 10) -> DataFrame:
     """(prefix, rank, entry, score): the k best entries of each prefix, equal scores in input order; a repeated entry counts once, as first seen."""
     first = entries.groupBy(entry).agg(F.min_by(score, order).alias(score), F.min(order).alias("_order"))

@@ -158,6 +158,21 @@ def levenshtein_pairs(spark, d):
     return a.join(b, "k").filter("a < b").select("a", "b", F.levenshtein("a", "b").alias("distance"))
 
 
+def _keys(spark, d):
+    return load(spark, d, "correctme").filter("keys is not null").select(F.lower("keys").alias("word")).distinct()
+
+
+@query()
+def levenshtein_keys(spark, d):
+    """Pairs of keywords at most two edits apart, whatever letter they begin with."""
+    return fuzzy.within(_keys(spark, d), "word", 2)
+
+
+@query()
+def qgram_index_keys(spark, d):
+    return fuzzy.gram_index(_keys(spark, d), "word").select("word", "gram")
+
+
 _ENTRIES = "e AS (SELECT p_name AS entry, arg_min(p_size, p_partkey) AS score, min(p_partkey) AS ord FROM part GROUP BY p_name)"
 
 
@@ -181,7 +196,17 @@ c AS (SELECT a.word AS a, b.word AS b, count(*) AS common FROM g a JOIN g b ON a
 SELECT a, b, common, round(common / (length(a) + length(b) - 2 - common), 6) AS jaccard FROM c""")
 def jaccard_pairs(spark, d):
     """Pairs of name words that share bigrams, with the estimate of their similarity."""
-    grams = fuzzy.gram_index(_names(spark, d), "word")
+    return _jaccard(_names(spark, d))
+
+
+@query()
+def jaccard_pairs_keys(spark, d):
+    """Pairs of keywords that share bigrams."""
+    return _jaccard(_keys(spark, d))
+
+
+def _jaccard(words):
+    grams = fuzzy.gram_index(words, "word")
     a, b = grams.select("gram", F.col("word").alias("a")), grams.select("gram", F.col("word").alias("b"))
     common = a.join(b, "gram").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     return common.withColumn("jaccard", F.round(tx.jaccard_estimate(F.col("common"), F.col("a"), F.col("b")), 6))

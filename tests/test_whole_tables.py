@@ -1,8 +1,10 @@
 """Queries over whole tables: rows beyond a fixed bound, a language or a short list come out too."""
 
+import random
 import re
 from datetime import datetime
 
+from millrace.operators import fuzzy
 from millrace.plans.catalogue import QUERIES
 
 
@@ -53,3 +55,46 @@ def test_normalised_texts_equal_brute_force(spark, rows):
     d = "/root/testdata/sf0.01"
     made = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
     assert rows(QUERIES["normalise_text_all"](spark, d)) == sorted([(r.doc_id, normalised(r.text)) for r in made], key=repr)
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def near_pairs(words, distance):
+    words = sorted(words)
+    near = ((a, b, levenshtein(a, b)) for i, a in enumerate(words) for b in words[i + 1 :] if abs(len(a) - len(b)) <= distance)
+    return sorted(((a, b, n) for a, b, n in near if n <= distance), key=repr)
+
+
+KEYS = "key_id long, keys string, score int"
+DIRTY = [(1, "old", 1), (2, "cold", 1), (2, "cold", None), (3, None, 1), (4, "Gold", 1), (5, "é", 1), (6, "", 1), (7, "hash table", 1), (8, "漢字", 1), (9, "漢", 1), (10, "bash table", 1)]
+
+
+def test_near_words_equal_brute_force(spark, rows):
+    rng = random.Random(3)
+    words = {"".join(rng.choice("abé漢") for _ in range(rng.randrange(0, 12))) for _ in range(250)}
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "w string")
+    for distance in (0, 1, 2, 3):
+        assert rows(fuzzy.within(df, "w", distance)) == near_pairs(words, distance)
+
+
+def test_near_keywords_may_differ_in_the_first_letter(spark, rows, tmp_path):
+    d = folder(spark, tmp_path, correctme=(DIRTY, KEYS))
+    got = rows(QUERIES["levenshtein_keys"](spark, d))
+    assert ("cold", "old", 1) in got and ("bash table", "hash table", 1) in got
+    assert got == near_pairs({k.lower() for _, k, _ in DIRTY if k is not None}, 2)
+
+
+def test_bigrams_are_of_all_keywords(spark, rows, tmp_path):
+    d = folder(spark, tmp_path, correctme=(DIRTY, KEYS))
+    grams = {k.lower(): {k.lower()[i : i + 2] for i in range(len(k) - 1)} for _, k, _ in DIRTY if k is not None}
+    assert rows(QUERIES["qgram_index_keys"](spark, d)) == sorted(((w, g) for w, gs in grams.items() for g in gs), key=repr)
+    shared = [(a, b, len(grams[a] & grams[b])) for a in grams for b in grams if a < b and grams[a] & grams[b]]
+    truth = [(a, b, n, round(n / (len(a) + len(b) - 2 - n), 6)) for a, b, n in shared]
+    assert rows(QUERIES["jaccard_pairs_keys"](spark, d)) == sorted(truth, key=repr)
