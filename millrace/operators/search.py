@@ -65,11 +65,8 @@ def ranked_hits(index: DataFrame, documents: int, id: str, terms: list[str], k:
     return scored.orderBy(F.desc("score"), id).limit(k)
 
 
-def longest_matches(dictionary: list[str]):
-    """A column function: entries found left to right, the longest at each place, without overlap.
-
-    dictionary is the query set and goes to every task; it is held as a trie of dictionaries.
-    """
+def _finder(dictionary: list[str]):
+    """A function of a text: (start, end) of the entries in it, left to right, the longest at each place, without overlap."""
     trie: dict = {}
     for entry in dictionary:
         node = trie
@@ -78,7 +75,7 @@ def longest_matches(dictionary: list[str]):
         if entry:
             node[""] = True
 
-    def find(text: str) -> list[str]:
+    def find(text: str) -> list[tuple[int, int]]:
         out, i = [], 0
         while i < len(text):
             node, end, j = trie, 0, i
@@ -87,13 +84,41 @@ def longest_matches(dictionary: list[str]):
                 if "" in node:
                     end = j
             if end:
-                out.append(text[i:end])
+                out.append((i, end))
             i = end or i + 1
         return out
 
+    return find
+
+
+def longest_matches(dictionary: list[str]):
+    """A column function: entries found left to right, the longest at each place, without overlap.
+
+    dictionary is the query set and goes to every task; it is held as a trie of dictionaries.
+    """
+    find = _finder(dictionary)
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(find, na_action="ignore")
+        return texts.map(lambda t: [t[i:j] for i, j in find(t)], na_action="ignore")
+
+    return run
+
+
+def linked(dictionary: list[str], base: str):
+    """A column function: the text with the entries of longest_matches wrapped in links to base plus the entry; null where there is none."""
+    find = _finder(dictionary)
+
+    def link(text: str) -> str | None:
+        out, at = [], 0
+        for i, j in find(text):
+            out += [text[at:i], f'<a href="{base}{text[i:j]}">{text[i:j]}</a>']
+            at = j
+        return "".join([*out, text[at:]]) if out else None
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(link, na_action="ignore")
 
     return run
 

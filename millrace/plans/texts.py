@@ -99,6 +99,24 @@ def keyword_link(spark, d):
     return load(spark, d, "documents").filter(F.col("text").rlike(pattern)).select("doc_id", tx.link(F.col("text"), pattern, "/k/").alias("linked"))
 
 
+def _dictionary(spark, d):
+    return [r[0] for r in load(spark, d, "correctme").filter("keys <> ''").select("keys").distinct().collect()]
+
+
+@query()
+def dict_longest_match_keys(spark, d):
+    """Every keyword as it stands in correctme."""
+    found = load(spark, d, "documents").select("doc_id", search.longest_matches(_dictionary(spark, d))(F.col("text")).alias("f"))
+    return found.filter(F.size("f") > 0).select("doc_id", F.size("f").cast("bigint").alias("n"), F.concat_ws("|", "f").alias("found"))
+
+
+@query()
+def keyword_link_keys(spark, d):
+    """Every keyword as it stands in correctme, linked."""
+    linked = search.linked(_dictionary(spark, d), "/k/")
+    return load(spark, d, "documents").select("doc_id", linked(F.col("text")).alias("linked")).filter("linked is not null")
+
+
 @query("""SELECT doc_id, replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '\\s', ' '), '&amp;', '&') AS plain,
 url_encode(source) AS url FROM documents""")
 def html_unescape(spark, d):

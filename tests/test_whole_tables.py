@@ -98,3 +98,28 @@ def test_bigrams_are_of_all_keywords(spark, rows, tmp_path):
     shared = [(a, b, len(grams[a] & grams[b])) for a in grams for b in grams if a < b and grams[a] & grams[b]]
     truth = [(a, b, n, round(n / (len(a) + len(b) - 2 - n), 6)) for a, b, n in shared]
     assert rows(QUERIES["jaccard_pairs_keys"](spark, d)) == sorted(truth, key=repr)
+
+
+def cut(text, keys):
+    """Pieces of a text, every second of them a keyword, by brute force."""
+    pieces, i, rest = [], 0, ""
+    while i < len(text):
+        best = max((k for k in keys if k and text.startswith(k, i)), key=len, default="")
+        if best:
+            pieces += [rest, best]
+            rest = ""
+        else:
+            rest += text[i]
+        i += len(best) or 1
+    return [*pieces, rest]
+
+
+def test_keywords_of_the_table_are_found_and_linked(spark, rows, tmp_path):
+    texts = ["a cold day, old as gold", "Gold hash table", "no match: zzz", "", None, "漢字漢é", "bash tablecold<old>", "oldold"]
+    d = folder(spark, tmp_path, correctme=(DIRTY, KEYS), documents=(list(enumerate(texts)), "doc_id long, text string"))
+    pieces = {i: cut(t, {k for _, k, _ in DIRTY if k}) for i, t in enumerate(texts) if t}
+    hits = {i: p for i, p in pieces.items() if len(p) > 1}
+    assert hits[0][1::2] == ["cold", "old", "old"] and 2 not in hits
+    assert rows(QUERIES["dict_longest_match_keys"](spark, d)) == sorted([(i, len(p) // 2, "|".join(p[1::2])) for i, p in hits.items()], key=repr)
+    linked = {i: "".join(f'<a href="/k/{x}">{x}</a>' if n % 2 else x for n, x in enumerate(p)) for i, p in hits.items()}
+    assert rows(QUERIES["keyword_link_keys"](spark, d)) == sorted(linked.items(), key=repr)
