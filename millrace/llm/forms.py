@@ -98,6 +98,19 @@ def look_alike_groups(df: DataFrame, text: str) -> DataFrame:
     return originals.withColumn("skeleton", skeleton(F.col("original"))).groupBy("skeleton").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n_rows").alias("n_rows"), F.min("original").alias("least"))
 
 
+def look_alike_classes(texts: DataFrame, source: str, id: str, text: str) -> DataFrame:
+    """(original, skeleton, form, class_id, sources, spellings, n_rows): each distinct original with its class.
+
+    sources lists per source the rows that have the original and their least id. spellings and n_rows
+    count the distinct originals and the rows of the class; class_id is a hash of the skeleton. Null
+    texts are left out; blank and invisible texts are a class of their own, with an empty skeleton.
+    """
+    by_source = texts.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("original"), F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.min(id).alias("id"))
+    originals = by_source.groupBy("original").agg(F.sort_array(F.collect_list(F.struct("source", "n", "id"))).alias("sources"), F.sum("n").alias("n")).withColumn("skeleton", skeleton(F.col("original")))
+    classes = originals.groupBy("skeleton").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("n_rows"))
+    return originals.join(classes, "skeleton").select("original", "skeleton", one_form(F.col("original")).alias("form"), F.md5("skeleton").alias("class_id"), "sources", "spellings", "n_rows")
+
+
 def look_alikes(df: DataFrame, listed: DataFrame, id: str, text: str, key: str, entry: str) -> DataFrame:
     """(id, key): each row whose text isn't an entry of the list character for character but has the skeleton of one.
 

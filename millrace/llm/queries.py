@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.llm.bpe import encode_corpus
 from millrace.llm.canonical import map_to_list
 from millrace.llm.distinctive import distinctive_terms
-from millrace.llm.forms import look_alike_groups, look_alikes
+from millrace.llm.forms import look_alike_classes, look_alikes
 from millrace.llm.frequency import term_frequencies
 from millrace.llm.leakage import find_leaks, removal_spans
 from millrace.llm.sampling import sample_categories
@@ -56,7 +56,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
-    return look_alike_groups(load(spark, d, "spell_correction"), "queries")
+    asked = load(spark, d, "spell_correction").select(F.lit("query").alias("source"), F.col("query_id").alias("id"), F.col("queries").alias("text"))
+    keys = load(spark, d, "correctme").select(F.lit("keyword").alias("source"), F.col("key_id").alias("id"), F.col("keys").alias("text"))
+    return look_alike_classes(asked.unionByName(keys), "source", "id", "text")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
