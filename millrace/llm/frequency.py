@@ -14,16 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.records import counted_pairs
 
-#: Members from which a container is a bitmap, its bytes, and the rows a task holds before it writes containers out.
-DENSE, BITMAP_BYTES, BLOCK_ROWS = 4096, 8192, 1 << 20
+#: Members from which a container is a bitmap, and its bytes.
+DENSE, BITMAP_BYTES = 4096, 8192
+#: Rows and bytes a task holds before it writes containers out, and before it merges them.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 20, 64 << 20
+MERGE_ROWS, MERGE_BYTES = 1 << 17, 16 << 20
 
 PARTIAL = "term string, chunk long, occurrences long, members binary"
-MERGED = "term string, chunk long, occurrences long, cardinality long, members binary"
+TOTALS = "term string, chunk long, occurrences long, cardinality long"
+MERGED = f"{TOTALS}, members binary"
 
 
 def _binary(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
@@ -66,21 +71,25 @@ def unpack(members: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(groups), np.concatenate(lows)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.Table]:
+    """The batches in blocks of about `rows` rows or `size` bytes, whichever comes first."""
+    held, n, held_bytes = [], 0, 0
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for at in range(0, batch.num_rows, step):
+            b = batch.slice(at, step)
+            held.append(b)
+            n, held_bytes = n + b.num_rows, held_bytes + b.nbytes
+            if n >= rows or held_bytes >= size:
+                yield pa.Table.from_batches(held)
+                held, n, held_bytes = [], 0, 0
     if n:
         yield pa.Table.from_batches(held)
 
 
 def build_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (term, docno, tf) to containers with counters, a block of rows at a time."""
-    for block in _blocks(batches, BLOCK_ROWS):
+    for block in _blocks(batches, BLOCK_ROWS, BLOCK_BYTES):
         coded = block["term"].combine_chunks().dictionary_encode()
         code, doc, tf = coded.indices.to_numpy(), block["docno"].to_numpy(), block["tf"].to_numpy()
         order = np.lexsort((doc, code))
@@ -95,35 +104,84 @@ def build_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
+def _sparse_union(group: np.ndarray, low: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cardinality per group, members in order): union of arrays of lower 16 bits; `group` doesn't decrease."""
+    member = (group << 16) | low
+    if len(member) > 1 and not np.all(member[1:] > member[:-1]):
+        member = np.unique(member)
+    return np.bincount(member >> 16, minlength=groups), member & 0xFFFF
+
+
 def _union(block: pa.Table) -> pa.RecordBatch:
-    """One row per (term, chunk) of a block that is sorted by them."""
+    """One row per (term, chunk) of a block that is sorted by them.
+
+    Arrays are merged with arrays. Where a group has a bitmap, its containers are or-ed into one
+    bitmap and its bits are counted: a bitmap is never taken apart.
+    """
     block = block.combine_chunks()
     term, chunk = block["term"].combine_chunks(), block["chunk"].to_numpy()
     code = term.dictionary_encode().indices.to_numpy()
     first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (chunk[1:] != chunk[:-1])))
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
-    container, low = unpack(block["members"].combine_chunks())
-    member = np.unique((group[container] << 16) | low)
-    owner = member >> 16
-    cardinality = np.bincount(owner, minlength=len(first))
+    members = block["members"].combine_chunks()
+    offsets = np.frombuffer(members.buffers()[1], np.int32, len(members) + 1, members.offset * 4).astype(np.int64)
+    data = np.frombuffer(members.buffers()[2] or b"", np.uint8)
+    lengths = np.diff(offsets)
+
+    full = np.flatnonzero(lengths == BITMAP_BYTES)
+    dense = np.unique(group[full])  # groups that have a bitmap
+    row_of = np.full(len(first), -1)
+    row_of[dense] = np.arange(len(dense))
+    bitmaps = np.zeros((len(dense), BITMAP_BYTES), np.uint8)
+    for c in full:
+        bitmaps[row_of[group[c]]] |= data[offsets[c] : offsets[c + 1]]
+
+    arrays = np.flatnonzero(lengths != BITMAP_BYTES)
+    if len(full):
+        values = np.concatenate([data[offsets[c] : offsets[c + 1]] for c in arrays]) if len(arrays) else data[:0]
+    else:
+        values = data[offsets[0] : offsets[-1]]
+    low = values.view("<u2").astype(np.int64)
+    owner = np.repeat(group[arrays], lengths[arrays] // 2)
+    beside = row_of[owner] >= 0
+    if beside.any():
+        np.bitwise_or.at(bitmaps, (row_of[owner[beside]], low[beside] >> 3), (1 << (low[beside] & 7)).astype(np.uint8))
+        owner, low = owner[~beside], low[~beside]
+    cardinality, low = _sparse_union(owner, low, len(first))
     starts = np.cumsum(cardinality) - cardinality
+    if len(dense):
+        merged = _interleave(dense, bitmaps, cardinality, starts, low)
+        cardinality[dense] = np.bitwise_count(bitmaps.view(np.uint64)).sum(axis=1, dtype=np.int64)
+    else:
+        merged = pack(starts, low)
     return pa.RecordBatch.from_arrays(
-        [term.take(pa.array(first)), pa.array(chunk[first]), pa.array(np.add.reduceat(block["occurrences"].to_numpy(), first)), pa.array(cardinality), pack(starts, member & 0xFFFF)],
+        [term.take(pa.array(first)), pa.array(chunk[first]), pa.array(np.add.reduceat(block["occurrences"].to_numpy(), first)), pa.array(cardinality), merged],
         names=["term", "chunk", "occurrences", "cardinality", "members"],
     )
 
 
+def _interleave(dense: np.ndarray, bitmaps: np.ndarray, sizes: np.ndarray, starts: np.ndarray, low: np.ndarray) -> pa.Array:
+    """The containers in order of their groups: bitmaps of the groups in `dense`, packed arrays of all others between them."""
+    pieces, done = [], 0
+    for g, bits in zip(dense.tolist(), bitmaps, strict=True):
+        if g > done:
+            pieces.append(pack(starts[done:g] - starts[done], low[starts[done] : starts[g]]))
+        pieces.append(_binary(np.array([BITMAP_BYTES]), bits))
+        done = g + 1
+    if done < len(sizes):
+        pieces.append(pack(starts[done:] - starts[done], low[starts[done] :]))
+    return pa.concat_arrays(pieces)
+
+
 def merge_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union of the containers of each (term, chunk); the input is sorted by them within the partition."""
     rest = None
-    for block in _blocks(batches, 1 << 17):
+    for block in _blocks(batches, MERGE_ROWS, MERGE_BYTES):
         if rest is not None:
             block = pa.concat_tables([rest, block])
-        terms, chunks, last = block["term"], block["chunk"].to_numpy(), block.num_rows - 1
-        same = np.flatnonzero(chunks[::-1] != chunks[last])
-        cut = last + 1 - (int(same[0]) if len(same) else last + 1)
-        while cut <= last and terms[cut] != terms[last]:
-            cut += 1
+        last = block.num_rows - 1
+        other = np.flatnonzero(~pc.equal(block["term"], block["term"][last]).to_numpy() | (block["chunk"].to_numpy() != block["chunk"][last].as_py()))
+        cut = int(other[-1]) + 1 if len(other) else 0
         # the rows from `cut` on are of the last (term, chunk), which may go on in the next block
         rest = block.slice(cut)
         if cut:
@@ -134,10 +192,16 @@ def merge_partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _union(rest)
 
 
-def term_bitmaps(pairs: DataFrame) -> DataFrame:
-    """(term, chunk, occurrences, cardinality, members) from pairs (docno, term, tf) of records and terms."""
+def _merge_to_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """merge_partials without the containers, for those who need their cardinality only."""
+    for b in merge_partials(batches):
+        yield b.drop_columns(["members"])
+
+
+def term_bitmaps(pairs: DataFrame, members: bool = True) -> DataFrame:
+    """(term, chunk, occurrences, cardinality, members) from pairs (docno, term, tf) of records and terms; members False leaves the containers out."""
     partial = pairs.select("term", F.col("docno").cast("long"), F.col("tf").cast("long")).mapInArrow(build_partials, PARTIAL)
-    return partial.repartition("term", "chunk").sortWithinPartitions("term", "chunk").mapInArrow(merge_partials, MERGED)
+    return partial.repartition("term", "chunk").sortWithinPartitions("term", "chunk").mapInArrow(*((merge_partials, MERGED) if members else (_merge_to_totals, TOTALS)))
 
 
 def term_frequencies(rows: DataFrame, rare: int = 2, common: float = 0.4, **columns: str) -> DataFrame:
@@ -148,6 +212,6 @@ def term_frequencies(rows: DataFrame, rare: int = 2, common: float = 0.4, **colu
     repeated rows don't count; an empty table gives no rows.
     """
     counted = counted_pairs(rows, **columns)
-    totals = term_bitmaps(counted.pairs).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("cardinality").alias("df"))
+    totals = term_bitmaps(counted.pairs, members=False).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("cardinality").alias("df"))
     mark = F.when(F.col("df") <= rare, "rare").when(F.col("df") > common * counted.records, "common")
     return totals.withColumn("mark", mark)

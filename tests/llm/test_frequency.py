@@ -88,6 +88,60 @@ def test_union_of_partials_is_the_set_union():
 
 @pytest.mark.parametrize("name", ["p1_found", "p1_frequencies"])
 def test_query_equals_sql(spark, rows, name):
-    from tests.llm.test_queries import against_sql
+    from tests.llm.test_llm_queries import against_sql
 
     against_sql(spark, rows, name)
+
+
+def _containers(sets):
+    """Partial containers (term, chunk 0) of sets of lower 16 bits."""
+    low = np.concatenate([np.sort(np.fromiter(s, np.int64)) for _, s in sets])
+    starts = np.cumsum([0] + [len(s) for _, s in sets])[:-1]
+    n = len(sets)
+    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in sets]), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), pack(starts, low)], names=["term", "chunk", "occurrences", "members"])
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from([7, 13, 1000, 30_000]), st.integers(0, 60)), min_size=1, max_size=12), st.integers(1, 4))
+def test_union_of_arrays_and_bitmaps_is_the_set_union(drawn, size):
+    sets = sorted(((t, set(range(start, 65536, step))) for t, step, start in drawn), key=lambda x: x[0])
+    truth = {}
+    for t, s in sets:
+        truth.setdefault(t, set()).update(s)
+    merged = pa.Table.from_batches(merge_partials(iter(pa.Table.from_batches([_containers(sets)]).to_batches(max_chunksize=size))))
+    owner, low = unpack(merged["members"].combine_chunks())
+    assert {t: set(low[owner == i].tolist()) for i, t in enumerate(merged["term"].to_pylist())} == truth
+    assert merged["cardinality"].to_pylist() == [len(truth[t]) for t in merged["term"].to_pylist()]
+    assert sum(merged["occurrences"].to_pylist()) == len(sets)
+
+
+def test_full_containers_merge_without_being_taken_apart():
+    import time
+    import tracemalloc
+
+    full = _containers([(f"t{i // 2:03}", range(65536)) for i in range(512)])
+    tracemalloc.start()
+    began = time.perf_counter()
+    merged = pa.Table.from_batches(merge_partials(iter([full])))
+    took, peak = time.perf_counter() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert merged["cardinality"].to_pylist() == [65536] * 256
+    assert took < 0.5 and peak < 50 << 20
+
+
+def test_rare_terms_of_one_chunk_merge_by_columns():
+    import time
+
+    n = 1 << 17
+    batch = pa.RecordBatch.from_arrays([pa.array([f"t{i:07}" for i in range(n)]), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), pack(np.arange(n), np.arange(n) & 0xFFFF)], names=["term", "chunk", "occurrences", "members"])
+    began = time.perf_counter()
+    merged = sum(b.num_rows for b in merge_partials(iter([batch])))
+    assert merged == n and time.perf_counter() - began < 1
+
+
+def test_blocks_are_bounded_by_bytes():
+    from millrace.llm.frequency import _blocks
+
+    batch = _containers([(f"t{i:03}", range(65536)) for i in range(100)])
+    sizes = [t.nbytes for t in _blocks(iter([batch]), 1 << 17, 100_000)]
+    assert max(sizes) < 200_000 and len(sizes) > 4
