@@ -13,7 +13,7 @@ from millrace.llm.distinctive import distinctive_terms
 from millrace.llm.forms import look_alike_classes, look_alikes
 from millrace.llm.frequency import term_frequencies
 from millrace.llm.leakage import find_leaks, removal_spans
-from millrace.llm.sampling import sample_categories
+from millrace.llm.sampling import sample_categories, sample_categories_and_periods
 from millrace.llm.subjects import subject_areas
 from millrace.sources.tables import load
 
@@ -41,6 +41,11 @@ def p2_sample(spark: SparkSession, d: str) -> DataFrame:
     return sample.select(F.col("id").alias("docno"), F.round("probability", 6).alias("probability"))
 
 
+def p2_margins(spark: SparkSession, d: str) -> DataFrame:
+    _, report = sample_categories_and_periods(load(spark, d, "nb"), load(spark, d, "cat_targets"))
+    return report
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     scored = distinctive_terms(load(spark, d, "nb"))
     # the exact rule: at least a fifth of the record, at least two records, at most 2 % of the records
@@ -89,4 +94,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return subject_areas(load(spark, d, "documents"), load(spark, d, "subject_labels"), load(spark, d, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_report, p2_sample, p3_found, p3_scores, p4_found, p4_forms, p5_found, p6_ids, p7_found, p7_spans, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_report, p2_sample, p2_margins, p3_found, p3_scores, p4_found, p4_forms, p5_found, p6_ids, p7_found, p7_spans, p8_found)}
