@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encode_corpus
 from millrace.llm.canonical import map_to_list
-from millrace.llm.distinctive import distinctive_terms
+from millrace.llm.distinctive import distinctive_terms, top_terms
 from millrace.llm.forms import look_alike_classes, look_alikes
 from millrace.llm.frequency import term_frequencies
 from millrace.llm.leakage import find_leaks, removal_spans
@@ -53,7 +53,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, d: str) -> DataFrame:
-    return distinctive_terms(load(spark, d, "nb")).withColumn("score", F.round("score", 6)).drop("records")
+    return distinctive_terms(load(spark, d, "nb")).withColumn("score", F.round("score", 6)).drop("records", "log_odds")
+
+
+def p3_top_terms(spark: SparkSession, d: str) -> DataFrame:
+    return top_terms(distinctive_terms(load(spark, d, "nb"))).withColumn("score", F.round("score", 6))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,4 +98,4 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return subject_areas(load(spark, d, "documents"), load(spark, d, "subject_labels"), load(spark, d, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_report, p2_sample, p2_margins, p3_found, p3_scores, p4_found, p4_forms, p5_found, p6_ids, p7_found, p7_spans, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_report, p2_sample, p2_margins, p3_found, p3_scores, p3_top_terms, p4_found, p4_forms, p5_found, p6_ids, p7_found, p7_spans, p8_found)}

@@ -45,3 +45,48 @@ def test_empty_and_dirty(nb, rows):
     assert rows(distinctive_terms(nb([(1, None, "c", "x", 1), (2, 1, "c", None, 1), (3, 1, "c", "x", -1)]))) == []
     only = rows(distinctive_terms(nb([(1, 1, "c", "x", 1)])))
     assert only[0][:6] == (1, "x", 1, 1, 1, 1)
+
+
+def test_fitting_goes_on_until_nothing_moves_and_likelihood_never_falls():
+    from millrace.llm.distinctive import log_likelihood
+
+    rng = np.random.default_rng(5)
+    owner, count, weight = [], [], []
+    for t in range(40):
+        values, n = np.unique(np.where(rng.random(2000) < 0.05, rng.poisson(rng.uniform(2, 9), 2000), rng.poisson(rng.uniform(0.01, 0.5), 2000)), return_counts=True)
+        held = values > 0
+        owner.append(np.full(held.sum(), t))
+        count.append(values[held].astype(float))
+        weight.append(n[held].astype(float))
+    owner, count, weight = map(np.concatenate, (owner, count, weight))
+    fits = [fit_two_poisson(owner, count, weight, 2000, 40, rounds=r) for r in (1, 5, 20, 100, 300)]
+    likely = [log_likelihood(owner, count, weight, 2000, *f) for f in fits]
+    for worse, better in zip(likely, likely[1:]):
+        assert np.all(better >= worse - 1e-6)
+    assert np.allclose(fit_two_poisson(owner, count, weight, 2000, 40, rounds=3000), fits[-1], rtol=1e-3)
+
+
+def test_top_terms_are_those_of_the_posterior(nb, monkeypatch):
+    from millrace.llm import distinctive
+
+    made, k = [], 0
+    for doc in range(200):
+        for term, tf in [("the", 4), (f"own{doc // 20}", 9 if doc % 20 == 0 else 1), ("of", 2), (f"name{doc // 2}", 3)]:
+            k += 1
+            made.append((k, doc, "c", term, tf))
+    scored = distinctive.distinctive_terms(nb(made)).cache()
+    found = {}
+    for r in distinctive.top_terms(scored, 2).collect():
+        found.setdefault(r.docno, []).append((r["rank"], r.term))
+    truth = {}
+    for r in sorted(scored.collect(), key=lambda r: (-r.log_odds, r.term)):
+        if r.score >= 0.5 and len(truth.setdefault(r.docno, [])) < 2:
+            truth[r.docno].append((len(truth[r.docno]) + 1, r.term))
+    assert {d: sorted(x) for d, x in found.items()} == {d: x for d, x in truth.items() if x}
+    assert found[0][0][1] == "own0" or found[0][1][1] == "own0"
+
+
+def test_top_terms_of_an_empty_table(nb, rows):
+    from millrace.llm.distinctive import top_terms
+
+    assert rows(top_terms(distinctive_terms(nb([])))) == []
