@@ -7,8 +7,9 @@ shard's suffix array gives the Burrows-Wheeler transform, which a wavelet matrix
 (every run of `words` words of a passage) are searched backwards in it together, their occurrences
 are located by sampled suffix positions, and overlapping occurrences are merged into removal spans.
 
-The query set (the passages) is given to every task; the corpus is read once, in place, without a
-shuffle before the matches.
+The query set (the passages) is given to every task in slices of a bounded number of words; the corpus
+is read once per slice, in place, without a shuffle before the matches. Only a slice at a time is on
+the driver.
 """
 
 from __future__ import annotations
@@ -16,18 +17,24 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from millrace.llm.forms import CASELESS, form_of
+from millrace.session import ensure_checkpoints
 
 OTHER, SEPARATOR = 1, 0
 #: Words of a shard, and the distance of sampled suffix positions.
 SHARD_WORDS, SAMPLE = 400_000, 16
+#: Words of passages that one slice of the query set has, about. Each begins a phrase of 12 numbers: 25 MB in a task, some 100 MB while the driver builds it.
+SLICE_WORDS = 250_000
 
 _WORDS = re.compile(r"[^\W_]+").findall
 _PLAIN = re.compile(r"[\t-\r -~]*").fullmatch
@@ -106,6 +113,24 @@ class WaveletMatrix:
         return end - start
 
 
+class Marks:
+    """A set of places with rank(): a bit each, and a running count per 64 of them."""
+
+    def __init__(self, marked: np.ndarray):
+        bits = np.zeros(-(-len(marked) // 64) * 64, np.uint8)
+        bits[: len(marked)] = marked
+        self.words = np.packbits(bits, bitorder="little").view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+
+    def has(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """How many marked places lie before each place."""
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[at >> 6] + np.bitwise_count(self.words[at >> 6] & below)
+
+
 class FMIndex:
     """Backward search and location in one sequence whose texts all end with a separator."""
 
@@ -119,7 +144,7 @@ class FMIndex:
         text_start[0] = True
         text_start[1:] = sequence[:-1] == SEPARATOR
         kept = (order % SAMPLE == 0) | text_start[order]  # a walk back never crosses a separator
-        self.sampled, self.position = kept, np.where(kept, order, -1)
+        self.sampled, self.position = Marks(kept), order[kept]
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[low, high) of the suffixes that begin with each phrase."""
@@ -137,11 +162,11 @@ class FMIndex:
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Place in the sequence of each suffix row."""
         steps, at = np.zeros(len(rows), np.int64), rows.copy()
-        while len(walking := np.flatnonzero(~self.sampled[at])):
+        while len(walking := np.flatnonzero(~self.sampled.has(at))):
             symbol = self.last[at[walking]]
             at[walking] = self.smaller[symbol] + self.matrix.rank(symbol, at[walking])
             steps[walking] += 1
-        return self.position[at] + steps
+        return self.position[self.sampled.rank(at)] + steps
 
 
 def find_in_shard(texts: list[list[int]], phrases: Phrases) -> Iterator[tuple[int, int, int]]:
@@ -201,7 +226,7 @@ def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[tup
 
 
 def _find(batches: Iterator[pa.RecordBatch], shared, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    phrases = shared.value
+    phrases, names = shared.value
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for ids, texts in _shards(batches, phrases):
         found: dict[tuple[int, int], list[int]] = defaultdict(list)
@@ -209,33 +234,43 @@ def _find(batches: Iterator[pa.RecordBatch], shared, id_type: pa.DataType) -> It
             found[text, passage].append(place)
         keys = list(found)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([ids[t] for t, _ in keys], id_type), pa.array([p for _, p in keys], pa.int64()), pa.array([merge_spans(found[k], phrases.words) for k in keys], spans)],
+            [pa.array([ids[t] for t, _ in keys], id_type), pa.array([names[p] for _, p in keys], pa.string()), pa.array([merge_spans(found[k], phrases.words) for k in keys], spans)],
             names=["id", "passage", "spans"],
         )
 
 
-def find_leaks(corpus: DataFrame, items: DataFrame, id: str, text: str, item: str, passage: str, words: int = 12) -> DataFrame:
+@F.pandas_udf(T.StringType())
+def _joined_words(passages: pd.Series) -> pd.Series:
+    return passages.map(lambda p: " ".join(words_of(p)), na_action="ignore")
+
+
+def find_leaks(corpus: DataFrame, items: DataFrame, id: str, text: str, item: str, passage: str, words: int = 12, slice_words: int = SLICE_WORDS) -> DataFrame:
     """(id, item, spans): each text that holds at least `words` consecutive words of an item's passage.
 
     spans are the leaked runs of words [start, end), counted from 0 in the text. Items that share a
     passage are all reported; passages of fewer words can't leak. Rows with null id, text, item or
     passage give nothing; repeated rows give repeated results only if their ids repeat. The items
-    are the query set: they are read by the driver, the corpus is not. An empty side gives no rows.
+    are the query set: the driver reads the distinct passages in slices of about `slice_words` words
+    and sends each to the tasks of one pass over the corpus. An empty side gives no rows.
     """
     spark = corpus.sparkSession
-    listed = items.select(F.col(item), F.col(passage)).filter(F.col(item).isNotNull() & F.col(passage).isNotNull()).distinct().collect()
-    numbers: dict[str, int] = {}
-    held = [(row[0], numbers.setdefault(" ".join(words_of(row[1])), len(numbers))) for row in listed]
-    shared = spark.sparkContext.broadcast(Phrases([p.split(" ") for p in numbers], words))
-    id_type, item_type = corpus.schema[id].dataType, items.schema[item].dataType
-    arrow_type = to_arrow_type(id_type)
-    found = (
-        corpus.select(F.col(id), F.col(text))
-        .filter(F.col(id).isNotNull() & F.col(text).isNotNull())
-        .mapInArrow(lambda batches: _find(batches, shared, arrow_type), f"id {id_type.simpleString()}, passage long, spans array<struct<start:int,end:int>>")
-    )
-    owners = spark.createDataFrame([(p, i) for i, p in held], f"passage long, item {item_type.simpleString()}")
-    return found.join(owners, "passage").select(F.col("id").alias(id), F.col("item").alias(item), "spans")
+    ensure_checkpoints(spark)
+    listed = items.select(F.col(item).alias("item"), F.col(passage).alias("text")).filter("item is not null and text is not null").distinct()
+    owners = listed.select("item", _joined_words("text").alias("joined")).select("item", "joined", F.md5("joined").alias("passage")).checkpoint()
+    distinct = owners.groupBy("passage").agg(F.first("joined").alias("joined")).withColumn("n", F.size(F.split("joined", " "))).filter(F.col("n") >= words)
+    held = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    slices = max(1, -(-held // slice_words))
+    id_type = corpus.schema[id].dataType
+    arrow_type, schema = to_arrow_type(id_type), f"id {id_type.simpleString()}, passage string, spans array<struct<start:int,end:int>>"
+    texts = corpus.select(F.col(id), F.col(text)).filter(F.col(id).isNotNull() & F.col(text).isNotNull())
+
+    def one_slice(number: int) -> DataFrame:
+        own = distinct.filter(F.pmod(F.xxhash64("passage"), F.lit(slices)) == number).select("passage", "joined").collect()
+        shared = spark.sparkContext.broadcast((Phrases([r.joined.split(" ") for r in own], words), [r.passage for r in own]))
+        return texts.mapInArrow(lambda batches: _find(batches, shared, arrow_type), schema)
+
+    found = reduce(DataFrame.unionByName, map(one_slice, range(slices)))
+    return found.join(owners.select("passage", "item"), "passage").select(F.col("id").alias(id), F.col("item").alias(item), "spans")
 
 
 def removal_spans(leaks: DataFrame, id: str) -> DataFrame:

@@ -92,3 +92,38 @@ def test_whole_table_against_brute_force(spark, rows):
         w = words_of(r.text)
         truth |= {(r.doc_id, x) for i in range(len(w) - 11) for x in held.get(tuple(w[i : i + 12]), ())}
     assert set(rows(find_leaks(docs, items, "doc_id", "text", "item_id", "passage").select("doc_id", "item_id").distinct())) == truth and truth
+
+
+def test_slices_of_the_passages_give_the_same_rows(spark, rows):
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 3)
+    items = [(i, " ".join(word() for _ in range(rng.randint(3, 30)))) for i in range(25)]
+    items += [(100, items[3][1]), (101, None), (None, "a b c d")]
+    docs = []
+    for i in range(60):
+        text = [word() for _ in range(20)]
+        for _ in range(2):
+            passage = rng.choice(items[:25])[1].split(" ")
+            at = rng.randrange(len(passage))
+            text += passage[at : at + 9] + [word()]
+        docs.append((i, " ".join(text)))
+    whole = rows(leaked(spark, docs, items, words=4))
+    assert whole and rows(leaked(spark, docs, items, words=4, slice_words=40)) == whole
+
+
+def test_one_slice_for_every_passage(spark, rows):
+    items = [(1, "a b c d e"), (2, "c d e f g"), (3, "x y z w")]
+    docs = [(1, "o a b c d e f g o x y z w"), (2, "a b c")]
+    whole = rows(leaked(spark, docs, items, words=3))
+    assert len(whole) == 4 and rows(leaked(spark, docs, items, words=3, slice_words=1)) == whole
+
+
+def test_marks_rank():
+    from millrace.llm.leakage import Marks
+
+    rng = np.random.default_rng(4)
+    for n in (1, 63, 64, 65, 1000):
+        marked = rng.random(n) < 0.3
+        marks, at = Marks(marked), np.arange(n)
+        assert marks.has(at).tolist() == marked.tolist()
+        assert marks.rank(at).tolist() == (np.cumsum(marked) - marked).tolist()
