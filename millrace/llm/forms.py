@@ -6,12 +6,15 @@ a Cyrillic or Greek letter drawn like a Latin letter is that letter. Case and ac
 
 The skeleton is that form taken apart: decompose, replace every character by its prototype, and
 decompose again. Two texts look alike exactly if their skeletons are equal; one_form composes the
-skeleton again, for those who go on with words or letters.
+skeleton again, for those who go on with words or letters. In tables, most texts are brought to one form by
+expressions; Python sees only those with letters that ASCII lacks.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,21 +30,23 @@ GREEK_AS = "ABEZHIKMNOPTYXaivopu"
 UNSEEN = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 
 
+def _prototype(ch: str) -> str:
+    """Prototype of a character that no fixed value names, by rule from the character database."""
+    category = unicodedata.category(ch)
+    if ch.isspace() or category in ("Zs", "Zl", "Zp"):
+        return " "
+    if category in ("Cf", "Cc") or ch in UNSEEN or unicodedata.name(ch, "").startswith(("VARIATION SELECTOR", "MONGOLIAN FREE VARIATION")):
+        return ""
+    if unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")):
+        return unicodedata.normalize("NFKD", ch)
+    return ch
+
+
 class _Prototypes(dict):
-    """Prototype of every character, by rule from the character database, kept once it was needed."""
+    """Prototype of every character, kept once it was needed."""
 
     def __missing__(self, code: int) -> str:
-        ch = chr(code)
-        category = unicodedata.category(ch)
-        if ch.isspace() or category in ("Zs", "Zl", "Zp"):
-            to = " "
-        elif category in ("Cf", "Cc") or ch in UNSEEN or unicodedata.name(ch, "").startswith(("VARIATION SELECTOR", "MONGOLIAN FREE VARIATION")):
-            to = ""
-        elif unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")):
-            to = unicodedata.normalize("NFKD", ch)
-        else:
-            to = ch
-        self[code] = to
+        self[code] = to = _prototype(chr(code))
         return to
 
 
@@ -74,14 +79,43 @@ def _form(texts: pd.Series) -> pd.Series:
     return texts.map(form_of, na_action="ignore")
 
 
+# Declared so, though they are not, that filters on their results aren't pushed below a distinct and evaluated once more for every row.
+_skeleton, _form = _skeleton.asNondeterministic(), _form.asNondeterministic()
+
+
+@cache
+def _simple() -> tuple[str, str]:
+    """Characters that stand alone and have a plain ASCII character or nothing as prototype, and these prototypes; those that vanish come last."""
+    found = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True))
+    for ch in map(chr, [*range(1, 0x20), *range(0x7F, 0xD800), *range(0xE000, 0x10000)]):
+        if ch not in found and not unicodedata.combining(ch) and unicodedata.normalize("NFD", ch) == ch:
+            to = _prototype(ch)
+            if to != ch and to.isascii() and len(to) <= 1:
+                found[ch] = to
+    order = sorted(found, key=lambda ch: (found[ch] == "", ch))
+    return "".join(order), "".join(found[ch] for ch in order)
+
+
+def _in_one_form(text: Column, rest: Callable[[Column], Column]) -> Column:
+    """Texts whose prototypes all are plain ASCII, by expressions; only the others go to `rest`, which is Python.
+
+    Characters that stand alone don't act on their neighbours, so replacing them one by one gives the
+    form if nothing else than ASCII is left.
+    """
+    ready = (F.char_length(text) == F.octet_length(text)) & ~text.rlike(r"[\x00-\x1f\x7f]")
+    plain = F.translate(text, *_simple())
+    done = plain.rlike(r"\A[ -~]*\z")
+    return F.when(ready, F.trim(text)).when(done, F.trim(plain)).otherwise(rest(F.when(~ready & ~done, text)))
+
+
 def skeleton(text: Column) -> Column:
     """The skeleton of a column of texts; null stays null, blank and invisible texts become empty."""
-    return _skeleton(text)
+    return _in_one_form(text, _skeleton)
 
 
 def one_form(text: Column) -> Column:
     """One form of a column of texts; null stays null, blank and invisible texts become empty."""
-    return _form(text)
+    return _in_one_form(text, _form)
 
 
 def caseless(form: Column) -> Column:
@@ -119,6 +153,8 @@ def look_alikes(df: DataFrame, listed: DataFrame, id: str, text: str, key: str,
     """
     entries = listed.select(F.col(key).alias("_key"), F.col(entry).alias("_text")).filter("_key is not null and _text is not null").distinct()
     keyed = entries.select("_key", skeleton(F.col("_text")).alias("_skeleton")).filter("_skeleton <> ''").distinct()
-    rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text")).filter("_id is not null and _text is not null").distinct()
-    odd = rows.join(entries.select("_text").distinct(), "_text", "left_anti")
-    return odd.withColumn("_skeleton", skeleton(F.col("_text"))).join(keyed, "_skeleton").select(F.col("_id").alias(id), F.col("_key").alias(key)).distinct()
+    rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text")).filter("_id is not null and _text is not null")
+    # skeletons are made once per distinct text
+    odd = rows.select("_text").distinct().join(entries.select("_text").distinct(), "_text", "left_anti")
+    alike = odd.select("_text", skeleton(F.col("_text")).alias("_skeleton")).join(keyed, "_skeleton").select("_text", "_key")
+    return rows.join(alike, "_text").select(F.col("_id").alias(id), F.col("_key").alias(key)).distinct()

@@ -1,9 +1,10 @@
 import unicodedata
 
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from millrace.llm.forms import CYRILLIC, GREEK, form_of, look_alike_groups, look_alikes, skeleton_of
+from millrace.llm.forms import CYRILLIC, GREEK, form_of, look_alike_groups, look_alikes, skeleton, skeleton_of
 
 
 def test_tables_hold_what_they_say():
@@ -42,3 +43,25 @@ def test_look_alikes(spark, rows):
 def test_groups(spark, rows):
     df = spark.createDataFrame([("aＢ",), ("aB",), ("aB",), (None,), ("ab",)], "t string")
     assert rows(look_alike_groups(df, "t")) == [("aB", 2, 3, "aB"), ("ab", 1, 1, "ab")]
+
+
+_ODD = "aZ9 .-\t\n\x00\x0b\x7f\x85\xa0­​‌﻿　ＡａｂＢ１ｱァアёЁйЙеЕсіκΚοäé́̀̂ßﬁ①日本語한글 ️🙂аΑ"
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(st.one_of(st.sampled_from(_ODD), st.characters(codec="utf-8")), max_size=12), min_size=200, max_size=300))
+def test_expressions_and_python_agree(spark, texts):
+    from millrace.llm.forms import one_form
+
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", one_form(F.col("t")).alias("form"), skeleton(F.col("t")).alias("skeleton"))
+    for r in df.collect():
+        assert (r.form, r.skeleton) == ((form_of(r.t), skeleton_of(r.t)) if r.t is not None else (None, None)), repr(r.t)
+
+
+def test_simple_characters_one_by_one():
+    from millrace.llm.forms import _simple
+
+    source, to = _simple()
+    for i, ch in enumerate(source):
+        assert skeleton_of(f"a{ch}b") == f"a{to[i] if i < len(to) else ''}b"
+    assert len(source) > 250
