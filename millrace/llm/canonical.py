@@ -6,7 +6,8 @@ unchanged in the typed form, moved by at most two places. Only a swap across a c
 segments at once, so each form is cut in three ways whose cuts are all at different places: two slips
 touch at most two places, hence at least one way of cutting has no slip across a cut. The segments are
 joined by equality on (length of the typed form, place, segment), verified with levenshtein, and
-what has no match is reported through an anti-join. Beyond one_form all of it is SQL expressions.
+what has no match is reported through an anti-join. All of it is SQL expressions, but for the texts
+that one_form leaves to Python.
 """
 
 from __future__ import annotations
@@ -37,10 +38,7 @@ def listed_forms(listed: DataFrame, key: str, entry: str) -> DataFrame:
 
 
 def segment_index(forms: DataFrame, least: int) -> DataFrame:
-    """(key, form, size, place, piece): where each segment may stand (from 0) in a typed form of `size` characters.
-
-    The whole form is a piece too; forms shorter than `least` have no other.
-    """
+    """(key, form, size, place, piece): where each segment may stand (from 0) in a typed form of `size` characters, for forms of `least` characters or more."""
     n = F.length("form")
     first, second = (F.floor((F.col("n") + 1) / 3) + F.col("o")).cast("int"), (F.floor((2 * F.col("n") + 2) / 3) + F.col("o")).cast("int")
     segment = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
@@ -49,17 +47,17 @@ def segment_index(forms: DataFrame, least: int) -> DataFrame:
     moves = F.explode(F.array(*[F.struct(F.lit(d).alias("longer"), F.lit(m).alias("shift")) for d, m in MOVES]))
     placed = cut.select("key", "form", (F.col("n")).alias("n"), "s.*", moves.alias("m")).select("*", "m.*").filter("start + shift >= 0 and end + shift <= n + longer")
     parts = placed.select("key", "form", (F.col("n") + F.col("longer")).alias("size"), (F.col("start") + F.col("shift")).alias("place"), F.col("form").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("piece"))
-    whole = forms.select("key", "form", n.alias("size"), F.lit(0).alias("place"), F.col("form").alias("piece"))
-    return parts.distinct().unionByName(whole)
+    return parts.distinct()
 
 
-def typed_pieces(forms: DataFrame) -> DataFrame:
-    """(typed, size, place, piece): every piece of a typed form that the index may hold."""
-    n = F.length("typed")
-    lengths = F.sequence(F.greatest(F.lit(1), F.floor((n - 2) / 3).cast("int") - 1), F.least(n, F.floor((n + 2) / 3).cast("int") + 2))
-    sized = forms.filter(n > 0).select("typed", n.alias("size"), F.explode(F.array_union(lengths, F.array(n))).alias("w"))
-    placed = sized.select("typed", "size", "w", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("w"))).alias("place"))
-    return placed.select("typed", "size", "place", F.col("typed").substr(F.col("place") + 1, F.col("w")).alias("piece"))
+def typed_pieces(values: DataFrame, index: DataFrame) -> DataFrame:
+    """(typed, size, place, piece): the pieces of each typed form at the places where the index has any for its size.
+
+    Sizes that no entry can have after two slips have no places and give nothing.
+    """
+    places = index.groupBy("size").agg(F.collect_set(F.struct("place", F.length("piece").alias("width"))).alias("places"))
+    spread = values.select("typed", F.length("typed").alias("size")).join(places, "size").select("typed", "size", F.explode("places").alias("p"))
+    return spread.select("typed", "size", F.col("p.place").alias("place"), F.col("typed").substr(F.col("p.place") + 1, F.col("p.width")).alias("piece"))
 
 
 def _swaps(s: Column) -> Column:
@@ -92,21 +90,32 @@ def map_to_list(df: DataFrame, listed: DataFrame, id: str, text: str, key: str,
     and digits must be met exactly. Of several entries the one with the fewest slips counts, then the
     least key. With an empty list every value is reported with -1.
     """
-    rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text")).filter("_id is not null and _text is not null").distinct()
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text")).filter("_id is not null and _text is not null")
     entries = listed.select(F.col(entry).alias("_text")).filter("_text is not null").distinct()
-    typed = rows.join(entries, "_text", "left_anti").withColumn("_form", one_form(F.col("_text"))).filter("_form <> ''").select("_id", letters(F.col("_form")).alias("typed"))
-
-    forms = listed_forms(listed, key, entry)
+    # texts are typed again and again: everything is done once per distinct text, and once per distinct run of letters
+    odd = rows.select("_text").distinct().join(entries, "_text", "left_anti")
+    formed = odd.select("_text", one_form(F.col("_text")).alias("_form")).select("_text", "_form", letters(F.col("_form")).alias("typed"))
+    # filtered behind the checkpoint, or the filter would be pushed below distinct and form every row
+    texts = formed.checkpoint().filter("_form <> ''").select("_text", "typed")
+    # as many tasks as the session says, however few bytes there are: what follows is work per value
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    values = texts.select("typed").repartition(tasks, "typed").distinct()
+
+    forms = listed_forms(listed, key, entry).checkpoint()
     index = segment_index(forms, least)
-    listed_rows, longest = forms.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("form")), F.lit(0))).first()
-    index_rows = listed_rows * (9 * len(MOVES) + 1)  # at most
-    # a value that is longer than every entry by more than two can't be two slips from one
-    pieces = typed_pieces(typed.select("typed").filter(F.length("typed") <= longest + 2).distinct())
-    candidates = pieces.join(F.broadcast(index) if index_rows <= BROADCAST_ROWS else index, ["size", "place", "piece"])
-    verified = candidates.select("typed", "key", slips(F.col("typed"), F.col("form")).alias("slips"), (F.length("form") < least).alias("short")).filter("slips is not null and (slips = 0 or not short)")
-    ensure_checkpoints(df.sparkSession)  # both joins below read the matches; they are found once
-    best = verified.groupBy("typed").agg(F.min(F.struct("slips", "key")).alias("m")).select("typed", F.col("m.key").alias("key")).checkpoint()
+    index_rows = forms.count() * 9 * len(MOVES)  # at most
+    beside = F.broadcast if index_rows <= BROADCAST_ROWS else lambda df: df
+    whole = values.join(beside(forms.groupBy("form").agg(F.min("key").alias("key"))), F.col("typed") == F.col("form")).select("typed", "key")
+    slipped = values.join(beside(forms.select("form").distinct()), F.col("typed") == F.col("form"), "left_anti")
+    met = typed_pieces(slipped, beside(index)).join(beside(index), ["size", "place", "piece"]).select("typed", "key", "form")
+    # a pair can share several pieces and is verified once; with a broadcast index no shuffle is needed for that
+    pairs = met.repartition(tasks, "typed").distinct()
+    verified = pairs.select("typed", "key", slips(F.col("typed"), F.col("form")).alias("slips")).filter("slips is not null")
+    near = verified.groupBy("typed").agg(F.min(F.struct("slips", "key")).alias("m")).select("typed", F.col("m.key").alias("key"))
+    meant = whole.unionByName(near).checkpoint()  # read by both joins below
     none = F.lit(-1).cast(dict(listed.dtypes)[key])
-    matched = typed.join(best, "typed").select("_id", "key")
-    unmatched = typed.join(best, "typed", "left_anti").select("_id", none.alias("key"))
-    return matched.unionByName(unmatched).select(F.col("_id").alias(id), F.col("key").alias(key))
+    unmatched = texts.join(meant, "typed", "left_anti").select("_text", none.alias("key"))
+    named = texts.join(meant, "typed").select("_text", "key").unionByName(unmatched)
+    return rows.join(named, "_text").select(F.col("_id").alias(id), F.col("key").alias(key)).distinct()
