@@ -81,3 +81,40 @@ def test_words_count_apart_in_each_language():
     words = number_words([["die", "x"], ["die", "x"], ["die", "y"], ["die", "y"]], np.arange(4), ["de", "de", "en", "en"])
     rows, _, _ = words.code([["die", "x"], ["die", "y"]], np.array([0, 1]))
     assert rows[0] != rows[2]
+
+
+def test_agreement_with_labels_left_out(spark):
+    from millrace.llm.subjects import held_out_agreement
+
+    docs = corpus(400)
+    labels = [(i, s, "x") for i, _, truth in docs[:300] for s in truth] + [(2, None, "y"), (3, "no such subject", "y")]
+    found = held_out_agreement(*tables(spark, docs, labels)).first()
+    assert 40 < found.documents < 110 and found.precision > 0.95 and found.recall > 0.95
+
+
+def test_background_and_gains_from_coded_texts():
+    import pyarrow as pa
+
+    from millrace.llm.subjects import _code, _numbers
+
+    class Shared:
+        value = number_words([["a", "b"], ["b", "a"], ["a", "b"]], np.arange(3), [None] * 3)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(["a b. b", "", "x"])], names=["id", "text"])
+    coded = next(_code(iter([batch]), Shared))
+    words, of = _numbers(coded.column(1))
+    sizes, sentences = _numbers(coded.column(2))
+    number = Shared.value.numbers
+    assert words.tolist() == [number["a"], number["b"], number["b"], 0] and of.tolist() == [3, 0, 1]
+    assert sizes.tolist() == [2, 1, 1] and sentences.tolist() == [2, 0, 1]
+
+
+def test_labelled_sample_is_bounded_by_characters(spark):
+    from millrace.llm.subjects import labelled_sample
+
+    docs = corpus(60)
+    a, b, _ = tables(spark, docs, [(i, s, "x") for i, _, t in docs for s in t])
+    whole = labelled_sample(a, b, list(WORDS), "doc_id", "text", "subject", "lang", 1000, 10**9)
+    part = labelled_sample(a, b, list(WORDS), "doc_id", "text", "subject", "lang", 1000, 2000)
+    assert len(whole) == 60 and part == whole[: len(part)] and 2000 < sum(len(t) for t, *_ in part) < 4000
+    assert len(labelled_sample(a, b, list(WORDS), "doc_id", "text", "subject", "lang", 7, 10**9)) == 7
