@@ -1,6 +1,7 @@
 """Integer codecs: array<bigint> of 32-bit numbers to binary and back, in Arrow batches.
 
-Every codec keeps `decode(encode(x)) == x`. The layouts are this engine's own; in storage Parquet's
+Every codec keeps `decode(encode(x)) == x`. Variable bytes and the words of Simple9 and Simple16 are the
+published ones, heads and the other layouts this engine's own; in storage Parquet's
 delta encodings serve the same end, these exist for exchange and for size comparisons.
 """
 
@@ -8,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,11 +60,17 @@ def vbyte_more_decode(data: bytes) -> list[int]:
 
 def _pack_bits(parts: list[tuple[int, int]]) -> bytes:
     """(value, width) pairs as one bit string, first part lowest."""
-    acc = at = 0
+    out, acc, at = bytearray(), 0, 0
     for value, width in parts:
         acc |= value << at
         at += width
-    return acc.to_bytes((at + 7) // 8, "little")
+        if at >= 512:  # the number in hand stays short, whatever the length of the list
+            out += (acc & (1 << 512) - 1).to_bytes(64, "little")
+            acc, at = acc >> 512, at - 512
+            while at >= 512:
+                out += (acc & (1 << 512) - 1).to_bytes(64, "little")
+                acc, at = acc >> 512, at - 512
+    return bytes(out) + acc.to_bytes((at + 7) // 8, "little")
 
 
 def rice(xs: list[int]) -> bytes:
@@ -78,15 +86,14 @@ def rice(xs: list[int]) -> bytes:
 
 def rice_decode(data: bytes) -> list[int]:
     k, n = data[0], int.from_bytes(data[1:5], "little")
-    bits = int.from_bytes(data[5:], "little")
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=5), bitorder="little")
+    zeros = np.flatnonzero(bits == 0)
+    powers = 1 << np.arange(k, dtype=np.int64)
     out, at = [], 0
     for _ in range(n):
-        q = 0
-        while bits >> at & 1:
-            q, at = q + 1, at + 1
-        at += 1
-        out.append(q << k | bits >> at & (1 << k) - 1)
-        at += k
+        stop = int(zeros[np.searchsorted(zeros, at)])
+        out.append((stop - at << k) + int(bits[stop + 1 : stop + 1 + k] @ powers))
+        at = stop + 1 + k
     return out
 
 
@@ -101,8 +108,8 @@ def frame(xs: list[int], kept: float = 0.9) -> bytes:
 def frame_decode(data: bytes) -> list[int]:
     b, n = data[0], int.from_bytes(data[1:5], "little")
     end = 5 + (n * b + 7) // 8
-    bits = int.from_bytes(data[5:end], "little")
-    out = [bits >> i * b & (1 << b) - 1 for i in range(n)]
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, end - 5, 5), count=n * b, bitorder="little").reshape(n, b)
+    out = (bits @ (1 << np.arange(b, dtype=np.int64))).tolist()
     rest = vbyte_more_decode(data[end:])
     for i, high in zip(rest[::2], rest[1::2], strict=True):
         out[i] |= high << b
@@ -110,7 +117,11 @@ def frame_decode(data: bytes) -> list[int]:
 
 
 def _selector_codec(layouts: list[list[int]]) -> tuple[Callable, Callable]:
-    """Words of 4 selector and 28 data bits; a layout lists the widths of a word's numbers. Numbers from 2^28 on stand apart."""
+    """Words of a selector in the high 4 bits and 28 data bits, first number lowest; a layout lists the widths of a word's numbers.
+
+    The words are the published ones. Before them stand the counts of numbers and of words, after them
+    the numbers from 2^28 on with their places, which a word can't hold.
+    """
 
     def encode(xs: list[int]) -> bytes:
         large = [(i, x) for i, x in enumerate(xs) if x >> WORD_BITS]
@@ -121,7 +132,7 @@ def _selector_codec(layouts: list[list[int]]) -> tuple[Callable, Callable]:
                 chunk = small[at : at + len(widths)]
                 if all(x.bit_length() <= w for x, w in zip(chunk, widths)):
                     break
-            word, shift = selector, 4
+            word, shift = selector << WORD_BITS, 0
             for x, w in zip(chunk, widths):
                 word |= x << shift
                 shift += w
@@ -135,8 +146,8 @@ def _selector_codec(layouts: list[list[int]]) -> tuple[Callable, Callable]:
         out: list[int] = []
         for k in range(words):
             word = int.from_bytes(data[8 + 4 * k : 12 + 4 * k], "little")
-            shift = 4
-            for w in layouts[word & 15]:
+            shift = 0
+            for w in layouts[word >> WORD_BITS]:
                 out.append(word >> shift & (1 << w) - 1)
                 shift += w
         out = out[:n]
@@ -148,17 +159,29 @@ def _selector_codec(layouts: list[list[int]]) -> tuple[Callable, Callable]:
     return encode, decode
 
 
-def _even(width: int) -> list[int]:
-    return [width] * (WORD_BITS // width)
-
-
-simple9, simple9_decode = _selector_codec([_even(w) for w in (1, 2, 3, 4, 5, 7, 9, 14, 28)])
-simple16, simple16_decode = _selector_codec(
-    [
-        _even(1), [2] * 7 + [1] * 14, [1] * 7 + [2] * 7 + [1] * 7, [1] * 14 + [2] * 7, _even(2), [4] + [3] * 8, [3] * 4 + [4] * 4, _even(4),
-        [5] * 4 + [4] * 2, [4] * 2 + [5] * 4, [6] * 3 + [5] * 2, [5] * 2 + [6] * 3, _even(7), [10] + [9] * 2, _even(14), _even(28),
-    ]
-)
+# Widths of the numbers in a word of Simple9 and of Simple16, by selector, as published.
+SIMPLE9 = [[1] * 28, [2] * 14, [3] * 9, [4] * 7, [5] * 5, [7] * 4, [9] * 3, [14] * 2, [28]]
+SIMPLE16 = [
+    [1] * 28,
+    [2] * 7 + [1] * 14,
+    [1] * 7 + [2] * 7 + [1] * 7,
+    [1] * 14 + [2] * 7,
+    [2] * 14,
+    [4] + [3] * 8,
+    [3] + [4] * 4 + [3] * 3,
+    [4] * 7,
+    [5] * 4 + [4] * 2,
+    [4] * 2 + [5] * 4,
+    [6] * 3 + [5] * 2,
+    [5] * 2 + [6] * 3,
+    [7] * 4,
+    [10] + [9] * 2,
+    [14] * 2,
+    [28],
+]
+
+simple9, simple9_decode = _selector_codec(SIMPLE9)
+simple16, simple16_decode = _selector_codec(SIMPLE16)
 
 CODECS: dict[str, tuple[Callable[[list[int]], bytes], Callable[[bytes], list[int]]]] = {
     "vbyte": (vbyte_last, vbyte_last_decode),

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 START_37, FACTOR_37 = 17, 37
 START_SHIFT_ADD = 1315423911
 FIRST_FACTOR, NEXT_FACTOR = 63689, 378551
+#: The product of the two factors as a signed 32-bit number.
+TWO_FACTORS = (FIRST_FACTOR * NEXT_FACTOR + 2**31) % 2**32 - 2**31
 
 
 def hash37(*parts: Column) -> Column:
@@ -28,8 +30,7 @@ def shift_add(*parts: Column) -> Column:
 
 def two_factors(first: Column, second: Column) -> Column:
     """first times the next factor plus second; the factor is the product of the two, as a signed 32-bit number."""
-    factor = (FIRST_FACTOR * NEXT_FACTOR + 2**31) % 2**32 - 2**31
-    return first.cast("bigint") * factor + second.cast("bigint")
+    return first.cast("bigint") * TWO_FACTORS + second.cast("bigint")
 
 
 def shift_xor(*parts: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import broadcast_within
+from millrace.session import ensure_checkpoints
 
 #: Classes up to which the class list is broadcast; more of them are joined by shuffle.
 CLASSES = 10_000
@@ -47,26 +48,38 @@ def multinomial_score(test: DataFrame, per_term: DataFrame, classes: DataFrame,
     return joined.select(doc, cat, F.round(score, 6).alias("score"))
 
 
-def complement_train(counts: DataFrame, cat: str, doc: str) -> tuple[DataFrame, DataFrame]:
-    """(cat, term, theta) and (cat, theta_all): tf-idf weights, scaled by the document's length, summed over the other classes."""
+def complement_train(counts: DataFrame, cat: str, doc: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cat, term, own), (term, every) and (cat, theta_all): tf-idf weights, scaled by the document's length and summed.
+
+    A class's weight of a term is every - own, what all other classes have. Only the pairs of class
+    and term that occur have a row; theta_all is the sum of a class's weights over all terms.
+    """
     n = counts.select(doc).distinct().count()
     weight = F.log(F.col("f") + 1.0) * F.log(F.lit(float(n)) / F.col("df"))
     weighted = counts.join(document_frequencies(counts, doc), "term").withColumn("w", weight)
     norm = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     scaled = weighted.join(norm, doc).withColumn("w", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0))
-    own = scaled.groupBy(cat, "term").agg(F.sum("w").alias("own"))
+    ensure_checkpoints(counts.sparkSession)
+    own = scaled.groupBy(cat, "term").agg(F.sum("w").alias("own")).checkpoint()  # read four times below
     every = own.groupBy("term").agg(F.sum("own").alias("every"))
-    cats = own.select(cat).distinct()
-    theta = every.crossJoin(broadcast_within(cats, CLASSES)).join(own, ["term", cat], "left").select(cat, "term", (F.col("every") - F.coalesce("own", F.lit(0.0))).alias("theta"))
-    return theta, theta.groupBy(cat).agg(F.sum("theta").alias("theta_all"))
+    sums = own.groupBy(cat).agg(F.sum("own").alias("own_all"))
+    total = F.sum("own_all").over(Window.partitionBy(F.lit(0)))  # one row a class
+    return own, every, sums.select(cat, (total - F.col("own_all")).alias("theta_all"))
 
 
-def complement_score(test: DataFrame, theta: DataFrame, totals: DataFrame, cat: str, doc: str) -> DataFrame:
-    """(doc, cat, score): minus the sum of f * ln((theta + 1) / (theta_all + a)); the class whose complement fits worst wins."""
+def complement_score(test: DataFrame, own: DataFrame, every: DataFrame, totals: DataFrame, cat: str, doc: str) -> DataFrame:
+    """(doc, cat, score): minus the sum of f * ln((theta + 1) / (theta_all + a)), theta being every - own; the class whose complement fits worst wins.
+
+    f * ln(every + 1) is summed once per document; classes that have a term themselves correct it. So
+    terms meet the classes they occur in, never all of them.
+    """
     sums = test.groupBy(doc).agg(F.sum("f").alias("_f"), F.count(F.lit(1)).alias("_a"))
-    known = test.join(theta, "term").groupBy(doc, cat).agg(F.sum(F.col("f") * F.log(F.col("theta") + 1.0)).alias("_known"))
-    joined = sums.crossJoin(broadcast_within(totals, CLASSES)).join(known, [doc, cat], "left")
-    score = F.col("_f") * F.log(F.col("theta_all") + F.col("_a").cast("double")) - F.coalesce("_known", F.lit(0.0))
+    known = test.join(every, "term").withColumn("_base", F.log(F.col("every") + 1.0))
+    base = known.groupBy(doc).agg(F.sum(F.col("f") * F.col("_base")).alias("_base"))
+    mended = known.join(own, "term").groupBy(doc, cat).agg(F.sum(F.col("f") * (F.log(F.col("every") - F.col("own") + 1.0) - F.col("_base"))).alias("_mend"))
+    joined = sums.join(base, doc, "left").crossJoin(broadcast_within(totals, CLASSES)).join(mended, [doc, cat], "left")
+    fit = F.coalesce("_base", F.lit(0.0)) + F.coalesce("_mend", F.lit(0.0))
+    score = F.col("_f") * F.log(F.col("theta_all") + F.col("_a").cast("double")) - fit
     return joined.select(doc, cat, F.round(score, 6).alias("score"))
 
 

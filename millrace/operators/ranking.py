@@ -37,5 +37,5 @@ def by_number_in_name(df: DataFrame, name: str) -> DataFrame:
     number = F.expr(f"try_cast(substring_index({name}, '-', -1) AS BIGINT)")
     prefix = F.when(F.instr(F.col(name), "-") > 0, F.expr(f"substring({name}, 1, length({name}) - length(substring_index({name}, '-', -1)) - 1)")).otherwise(F.col(name))
     rows = df.select(name, number.alias("number"), prefix.alias("prefix"))
-    ranked = with_positions(rows, F.coalesce("number", F.lit(2**63 - 1)), [F.asc_nulls_last("number"), F.col("prefix"), F.col(name)], "rank")
+    ranked = with_positions(rows, F.asc_nulls_last("number"), [F.col("prefix"), F.col(name)], "rank")
     return ranked.withColumn("rank", F.col("rank") + 1)

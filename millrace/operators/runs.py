@@ -20,16 +20,39 @@ def rle_decode(runs: DataFrame, key: str) -> DataFrame:
     return runs.select(key, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos"), "val")
 
 
+#: Positions that are looked at together: a key's runs are cut at its multiples, so that no task gets a whole hot key.
+CHUNK = 1 << 16
+
+
+def _chunked(runs: DataFrame, key: str, side: str) -> DataFrame:
+    """(key, _chunk, _at, <side>): the runs cut at the borders of chunks; <side> has the run's value, start, and the end in this chunk."""
+    end = F.col("start") + F.col("length")
+    spread = runs.filter("length > 0").select(key, "val", "start", end.alias("_end"), F.explode(F.sequence(F.floor(F.col("start") / CHUNK), F.floor((end - 1) / CHUNK))).alias("_chunk"))
+    low, high = F.greatest("start", F.col("_chunk") * CHUNK), F.least("_end", (F.col("_chunk") + 1) * CHUNK)
+    return spread.select(key, "_chunk", low.alias("_at"), F.struct(high.alias("end"), "start", "val").alias(side))
+
+
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, left_val, right_val, start, length) where runs of both sides overlap; an equi-join on the key with a range condition."""
-    l = left.select(key, F.col("val").alias("left_val"), F.col("start").alias("_ls"), (F.col("start") + F.col("length")).alias("_le"))
-    r = right.select(key, F.col("val").alias("right_val"), F.col("start").alias("_rs"), (F.col("start") + F.col("length")).alias("_re"))
-    start, end = F.greatest("_ls", "_rs"), F.least("_le", "_re")
-    both = l.join(r, (l[key] == r[key]) & (F.col("_ls") < F.col("_re")) & (F.col("_rs") < F.col("_le"))).drop(r[key])
-    return both.select(key, "left_val", "right_val", start.alias("start"), (end - start).alias("length"))
+    """(key, left_val, right_val, start, length) where runs of both sides overlap; the runs of each side don't overlap among themselves.
+
+    One pass over the borders in order: an overlap begins where a run begins while one of the other
+    side lasts, and ends with the first of both. No run is paired with others than those it meets.
+    """
+    both = _chunked(left, key, "_l").unionByName(_chunked(right, key, "_r"), allowMissingColumns=True)
+    borders = both.groupBy(key, "_chunk", "_at").agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    sofar = Window.partitionBy(key, "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = borders.select(key, "_at", *[F.last(c, ignorenulls=True).over(sofar).alias(c) for c in ("_l", "_r")])
+    met = last.filter(F.col("_l.end") > F.col("_at")).filter(F.col("_r.end") > F.col("_at"))
+    parts = met.select(key, "_l", "_r", "_at", (F.least("_l.end", "_r.end") - F.col("_at")).alias("_n"))
+    whole = parts.groupBy(key, F.col("_l.start").alias("_ls"), F.col("_r.start").alias("_rs"), F.col("_l.val").alias("left_val"), F.col("_r.val").alias("right_val"))
+    return whole.agg(F.min("_at").alias("start"), F.sum("_n").alias("length")).select(key, "left_val", "right_val", "start", "length")
 
 
 def at_points(runs: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """(key, pos, val): value of the run that holds each point (key, pos)."""
-    inside = (points[key] == runs[key]) & (points["pos"] >= runs["start"]) & (points["pos"] < runs["start"] + runs["length"])
-    return points.join(runs, inside).select(points[key], points["pos"], runs["val"])
+    """(key, pos, val): value of the run that holds each point (key, pos); points outside all runs give no row, repeated points repeat theirs."""
+    asked = points.select(key, F.floor(F.col("pos") / CHUNK).alias("_chunk"), F.col("pos").alias("_at"), F.lit(1).alias("_asked"))
+    both = _chunked(runs, key, "_run").unionByName(asked, allowMissingColumns=True)
+    # a run that begins at a point comes before it
+    sofar = Window.partitionBy(key, "_chunk").orderBy("_at", F.asc_nulls_first("_asked")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_run", F.last("_run", ignorenulls=True).over(sofar)).filter("_asked = 1").filter(F.col("_run.end") > F.col("_at"))
+    return found.select(key, F.col("_at").alias("pos"), F.col("_run.val").alias("val"))

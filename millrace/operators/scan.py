@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import Predicate, conjunction
+from millrace.session import ensure_checkpoints
 
 
 def scan(df: DataFrame, predicates: list[Predicate], columns: list[str]) -> DataFrame:
@@ -22,18 +25,27 @@ def late_scan(df: DataFrame, key: str, predicates: list[Predicate], columns: lis
     return df.select(key, *[c for c in columns if c != key]).join(keys, key, "left_semi").select(*columns)
 
 
+#: monotonically_increasing_id has the number of the partition above these bits, the row's place in it below.
+PLACE_BITS = 33
+
+
 def with_positions(df: DataFrame, bucket: Column, order: list[str | Column], name: str = "pos") -> DataFrame:
     """Number the rows from 0 in the given order, without bringing them into one task.
 
-    bucket must not decrease along the order; rows are numbered within their bucket, and the counts
-    of the buckets before it are added. Rows equal in all of `order` are numbered in any order.
+    The rows are sorted by range over all tasks and kept so in the shared folder; each row's number
+    is its place in its partition plus the rows of the partitions before, of which the driver holds
+    one count each. bucket leads the order and must not decrease along it. Rows equal in all of the
+    order are numbered in any order.
     """
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_bucket", before.alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return rows.withColumn("_own", own).join(offsets, rows["_bucket"].eqNullSafe(offsets["_bucket"])).drop(offsets["_bucket"]).withColumn(name, (F.col("_own") - 1 + F.col("_before")).cast("bigint")).drop("_own", "_before", "_bucket")
+    ensure_checkpoints(df.sparkSession)
+    sort = [bucket, *(F.col(o) if isinstance(o, str) else o for o in order)]
+    placed = df.orderBy(*sort).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_at", PLACE_BITS)
+    counts = sorted(placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = dict(zip([r.part for r in counts], accumulate([0, *(r.n for r in counts)])))
+    offsets = df.sparkSession.createDataFrame(list(before.items()), "_part long, _before long")
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).drop("_part", "_before", "_at")
 
 
 def at_positions(df: DataFrame, positions: DataFrame, name: str = "pos") -> DataFrame:

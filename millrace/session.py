@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +20,7 @@ def build_session(cpus: int = 8, app: str = "millrace", **conf: str) -> SparkSes
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("MILLRACE_DRIVER_MEMORY", "8g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -31,11 +34,17 @@ def build_session(cpus: int = 8, app: str = "millrace", **conf: str) -> SparkSes
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made.
+    Only where the setting is absent and the master is local (tests, a laptop) a temporary folder is
+    made, which goes when the process ends; a cluster without the setting is refused, for its machines
+    share no temporary folder.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        made = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        folder = "file://" + made
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
