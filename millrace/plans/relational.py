@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.dates import epoch_day, yyyymmdd
-from millrace.functions.hashing import hash37, md5_tail, shift_add, shift_xor, two_factors
+from millrace.functions.hashing import TWO_FACTORS, hash37, md5_tail, shift_add, shift_xor, two_factors
 from millrace.functions.predicates import COMPARATORS, Predicate, parse_range
 from millrace.operators import joins, keyrange, ranking, scan
 from millrace.plans import q3
@@ -58,13 +58,6 @@ def position_and(spark, d):
     return scan.intersect_positions(rows.filter("o_totalprice > 300000"), rows.filter("o_orderstatus = 'O'"))
 
 
-@query(f"SELECT pos, o_orderkey FROM ({_POS}) WHERE pos % 97 = 5 AND pos < 5000")
-def positional_read(spark, d):
-    rows = _wide(spark, d)
-    wanted = spark.range(5, 5000, 97).withColumnRenamed("id", "pos")
-    return scan.at_positions(rows, wanted).select("pos", "o_orderkey")
-
-
 @query(f"SELECT pos, o_orderkey FROM ({_POS}) WHERE pos % 97 = 5")
 def positional_read_all(spark, d):
     """Every 97th row up to the last one."""
@@ -73,13 +66,6 @@ def positional_read_all(spark, d):
     return scan.at_positions(rows, wanted).select("pos", "o_orderkey")
 
 
-@query(f"SELECT pos, concat_ws(',', o_orderkey, o_custkey) AS line FROM ({_POS}) WHERE o_custkey < 100")
-def positional_join(spark, d):
-    rows = _wide(spark, d)
-    left, right = rows.select("pos", "o_orderkey"), rows.filter("o_custkey < 100").select("pos", "o_custkey")
-    return joins.by_position(left, right).select("pos", F.concat_ws(",", "o_orderkey", "o_custkey").alias("line"))
-
-
 @query(f"SELECT pos, concat_ws(',', o_orderkey, o_custkey) AS line FROM ({_POS})")
 def positional_join_all(spark, d):
     """Two columns of every order put side by side again."""
@@ -202,12 +188,6 @@ def join_index_build(spark, d):
     return joins.join_index(orders, items, "o_orderkey", "l_orderkey", "order_pos", "item_pos").groupBy("order_pos").agg(F.count(F.lit(1)).alias("n_items"))
 
 
-@query("SELECT k.key AS c_custkey, coalesce(c_nationkey, -1) AS c_nationkey FROM (SELECT unnest(range(0, 200000, 37)) AS key) k LEFT JOIN customer ON c_custkey = k.key")
-def point_lookup_list(spark, d):
-    keys = spark.range(0, 200000, 37).withColumnRenamed("id", "c_custkey")
-    return joins.lookup(load(spark, d, "customer"), keys, "c_custkey", "c_nationkey")
-
-
 @query("""SELECT k.key AS c_custkey, coalesce(c_nationkey, -1) AS c_nationkey
 FROM (SELECT unnest(range(0, (SELECT greatest(200000, coalesce(max(c_custkey), 0) + 1) FROM customer), 37)) AS key) k LEFT JOIN customer ON c_custkey = k.key""")
 def point_lookup_all(spark, d):
@@ -299,7 +279,7 @@ def hash37_bucket(spark, d):
 
 
 @query(f"""SELECT o_orderkey, xor(1315423911::BIGINT, 1315423911::BIGINT * 32 + o_orderkey + (1315423911::BIGINT >> 2)) AS shifted,
-o_orderkey * {(63689 * 378551 + 2**31) % 2**32 - 2**31} + o_custkey AS multiplied,
+o_orderkey * {TWO_FACTORS} + o_custkey AS multiplied,
 list_reduce([0::BIGINT, o_orderkey & 65535, (o_orderkey >> 8) & 65535, (o_orderkey >> 16) & 65535, (o_orderkey >> 24) & 65535, o_custkey & 65535, (o_custkey >> 8) & 65535, (o_custkey >> 16) & 65535, (o_custkey >> 24) & 65535],
 lambda h, c: xor(xor(h << 5, h >> 27), c)) AS mixed FROM orders""")
 def integer_hashes(spark, d):
@@ -359,7 +339,10 @@ def parquet_roundtrip(spark, d):
 
 @query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS keys FROM customer")
 def record_store_scan(spark, d):
-    return load(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("keys"))
+    """The folder of tables as a keyspace of the record store."""
+    path, _, keyspace = d.rstrip("/").rpartition("/")
+    records = readers.load_table(spark, "record_store", path=path, keyspace=keyspace, table="customer")
+    return records.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("keys"))
 
 
 @query("SELECT i AS user_id, md5('f' || i) AS fname, md5('l' || i) AS lname, i + 100 AS number FROM range(1000) t(i)")
@@ -406,14 +389,6 @@ def setops_diff_both(spark, d):
     return left.join(right, "k", "left_anti").unionByName(right.join(left, "k", "left_anti")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE l_partkey < 100 AND (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_orderkey % 50 = 7) GROUP BY 1, 2")
-def composite_lookup(spark, d):
-    """Rows by a list of two-part keys."""
-    items = load(spark, d, "lineitem")
-    keys = items.filter("l_orderkey % 50 = 7").select("l_partkey", "l_suppkey").distinct()
-    return items.filter("l_partkey < 100").join(keys, ["l_partkey", "l_suppkey"], "left_semi").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1, 2")
 def composite_lookup_all(spark, d):
     """All items of every part and supplier that had an item sent back."""
@@ -437,3 +412,14 @@ def labelled_corpus(spark, d):
     nation.repartitionByRange(64, "n_nationkey").select(F.col("n_name").alias("value"), "r_name").write.partitionBy("r_name").option("maxRecordsPerFile", 1).text(path)
     read = readers.read_labelled(spark, path).withColumn("label", F.url_decode(F.split("label", "=")[1]))
     return read.groupBy("label").agg(F.count(F.lit(1)).alias("files"), F.sum(F.char_length(F.regexp_replace("text", "\n", ""))).alias("characters"))
+
+
+@query(f"SELECT pos, o_orderkey, o_custkey FROM ({_POS}) WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def secondary_index_lookup(spark, d):
+    """Orders of the customers in debt: positions from an index of (value, position) that is stored in the order of the value, then the rows there."""
+    rows = _wide(spark, d)
+    path = scratch(spark, "index")
+    readers.write_sorted(rows.select("o_custkey", "pos"), path, ["o_custkey", "pos"])
+    asked = load(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    found = readers.load_table(spark, "parquet", path=path).join(asked, "o_custkey", "left_semi")
+    return found.join(rows.select("pos", "o_orderkey"), "pos").select("pos", "o_orderkey", "o_custkey")

@@ -83,34 +83,23 @@ def tfidf_top5(spark, d):
     return search.ranked_hits(search.inverted_index(_tokens(spark, d), "doc_id"), docs.count(), "doc_id", ["index", "table", "query"])
 
 
-_DICT = ["hash table", "hash", "table", "index page", "index", "query planner", "query", "row group", "snapshot", "join order"]
-
-
-@query(f"""SELECT doc_id, len(regexp_extract_all(text, '{search.alternation(_DICT)}')) AS n, array_to_string(regexp_extract_all(text, '{search.alternation(_DICT)}'), '|') AS found
-FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '{search.alternation(_DICT)}')""")
-def dict_longest_match(spark, d):
-    found = load(spark, d, "documents").select("doc_id", search.longest_matches(_DICT)(F.col("text")).alias("f"))
-    return found.filter(F.size("f") > 0).select("doc_id", F.size("f").cast("bigint").alias("n"), F.concat_ws("|", "f").alias("found"))
-
-
-@query(f"""SELECT doc_id, regexp_replace(text, '({search.alternation(_DICT[:5])})', '<a href="/k/\\1">\\1</a>', 'g') AS linked FROM documents WHERE regexp_matches(text, '{search.alternation(_DICT[:5])}')""")
-def keyword_link(spark, d):
-    pattern = search.alternation(_DICT[:5])
-    return load(spark, d, "documents").filter(F.col("text").rlike(pattern)).select("doc_id", tx.link(F.col("text"), pattern, "/k/").alias("linked"))
-
-
 def _dictionary(spark, d):
     return [r[0] for r in load(spark, d, "correctme").filter("keys <> ''").select("keys").distinct().collect()]
 
 
-@query()
+# every keyword as it is stored, the longest first; the texts of the alternation are free of case folding
+_KEYWORDS = """p AS (SELECT string_agg(regexp_escape(k), '|' ORDER BY length(k) DESC, k) AS pattern FROM (SELECT DISTINCT "keys" AS k FROM correctme WHERE "keys" <> ''))"""
+
+
+@query(f"""WITH {_KEYWORDS}, f AS (SELECT doc_id, regexp_extract_all(text, pattern) AS f FROM documents, p WHERE text IS NOT NULL)
+SELECT doc_id, len(f) AS n, array_to_string(f, '|') AS found FROM f WHERE len(f) > 0""")
 def dict_longest_match_keys(spark, d):
     """Every keyword as it stands in correctme."""
     found = load(spark, d, "documents").select("doc_id", search.longest_matches(_dictionary(spark, d))(F.col("text")).alias("f"))
     return found.filter(F.size("f") > 0).select("doc_id", F.size("f").cast("bigint").alias("n"), F.concat_ws("|", "f").alias("found"))
 
 
-@query()
+@query(f"""WITH {_KEYWORDS} SELECT doc_id, regexp_replace(text, '(' || pattern || ')', '<a href="/k/\\1">\\1</a>', 'g') AS linked FROM documents, p WHERE regexp_matches(text, pattern)""")
 def keyword_link_keys(spark, d):
     """Every keyword as it stands in correctme, linked."""
     linked = search.linked(_dictionary(spark, d), "/k/")
@@ -123,14 +112,9 @@ def html_unescape(spark, d):
     return load(spark, d, "documents").select("doc_id", tx.unescape(F.col("text")).alias("plain"), F.url_encode("source").alias("url"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS text FROM documents WHERE lang = 'en'")
-def normalise_text(spark, d):
-    return load(spark, d, "documents").filter("lang = 'en'").select("doc_id", tx.normalise(F.col("text")).alias("text"))
-
-
-@query()
+@query("SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS text FROM documents")
 def normalise_text_all(spark, d):
-    """Texts of every language, and of none. Held against brute force, not SQL: lower() need not be the same in other systems."""
+    """Texts of every language, and of none."""
     return load(spark, d, "documents").select("doc_id", tx.normalise(F.col("text")).alias("text"))
 
 
@@ -169,13 +153,6 @@ def spell_correct_names(spark, d):
     return fuzzy.correct(asked, keys, "query", "word")
 
 
-@query(f"WITH {_NAMES} SELECT a.word AS a, b.word AS b, CAST(levenshtein(a.word, b.word) AS INTEGER) AS distance FROM names a JOIN names b ON a.word < b.word AND substr(a.word, 1, 1) = substr(b.word, 1, 1)")
-def levenshtein_pairs(spark, d):
-    n = _names(spark, d)
-    a, b = n.select(F.col("word").alias("a"), F.substring("word", 1, 1).alias("k")), n.select(F.col("word").alias("b"), F.substring("word", 1, 1).alias("k"))
-    return a.join(b, "k").filter("a < b").select("a", "b", F.levenshtein("a", "b").alias("distance"))
-
-
 def _keys(spark, d):
     return load(spark, d, "correctme").filter("keys is not null").select(F.lower("keys").alias("word")).distinct()
 
@@ -186,7 +163,10 @@ def levenshtein_keys(spark, d):
     return fuzzy.within(_keys(spark, d), "word", 2)
 
 
-@query()
+_KEYS = """keys AS (SELECT DISTINCT lower("keys") AS word FROM correctme WHERE "keys" IS NOT NULL)"""
+
+
+@query(f"WITH {_KEYS} SELECT DISTINCT word, substr(word, CAST(i AS BIGINT), 2) AS gram FROM keys, range(1, 200) t(i) WHERE i < length(word)")
 def qgram_index_keys(spark, d):
     return fuzzy.gram_index(_keys(spark, d), "word").select("word", "gram")
 
@@ -217,7 +197,9 @@ def jaccard_pairs(spark, d):
     return _jaccard(_names(spark, d))
 
 
-@query()
+@query(f"""WITH {_KEYS}, g AS (SELECT DISTINCT word, substr(word, CAST(i AS BIGINT), 2) AS gram FROM keys, range(1, 200) t(i) WHERE i < length(word)),
+c AS (SELECT a.word AS a, b.word AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.word < b.word GROUP BY ALL)
+SELECT a, b, common, round(common / (length(a) + length(b) - 2 - common), 6) AS jaccard FROM c""")
 def jaccard_pairs_keys(spark, d):
     """Pairs of keywords that share bigrams."""
     return _jaccard(_keys(spark, d))
