@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from millrace.functions.codecs import decode, encode, vbyte_size
@@ -111,6 +113,26 @@ def codec_roundtrip(spark, d):
     return lists.select("l_partkey", F.size("gaps").cast("bigint").alias("n"), *[(decode(encode(F.col("gaps"), c), c) == F.col("gaps")).alias(c) for c in names])
 
 
+def _vbyte_hex(shape) -> str:
+    """SQL: the bytes of gap in hexadecimal, seven bits each; shape(bits, is it the last) writes one byte."""
+    sizes = [(128, 0), (16384, 1), (2097152, 2), (268435456, 3), (None, 4)]
+    whole = lambda more: " || ".join(shape(7 * g, g == 0) for g in range(more, -1, -1))
+    return "CASE " + " ".join(f"WHEN gap < {limit} THEN {whole(more)}" for limit, more in sizes if limit) + f" ELSE {whole(4)} END"
+
+
+_LAST = _vbyte_hex(lambda shift, last: f"printf('%02x', ((gap >> {shift}) & 127) + {128 if last else 0})")
+_MORE = _vbyte_hex(lambda shift, last: f"printf('%02x', ((gap >> {shift}) & 127) * 2 + {0 if last else 1})")
+
+
+@query(f"""WITH g AS (SELECT l_partkey, l_orderkey, l_orderkey - lag(l_orderkey, 1, 0) OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS gap FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem))
+SELECT l_partkey, string_agg({_LAST}, '' ORDER BY l_orderkey) AS vbyte, string_agg({_MORE}, '' ORDER BY l_orderkey) AS vbyte_more FROM g GROUP BY l_partkey""")
+def vbyte_bytes(spark, d):
+    """Gap lists in both variable-byte layouts, byte by byte."""
+    gaps = timeseries.gaps(load(spark, d, "lineitem").withColumnRenamed("l_orderkey", "value"), "l_partkey", "value")
+    lists = gaps.groupBy("l_partkey").agg(F.sort_array(F.collect_list(F.struct("value", "gap"))).alias("v")).select("l_partkey", F.col("v.gap").alias("gaps"))
+    return lists.select("l_partkey", *[F.lower(F.hex(encode(F.col("gaps"), c))).alias(c) for c in ("vbyte", "vbyte_more")])
+
+
 _RATE = "SELECT time_bucket(INTERVAL 3600 SECONDS, ts) AS window_start, count(*) AS n, round(count(*) / 3600.0, 6) AS per_second, round(avg(value), 4) AS mean_value FROM events GROUP BY 1"
 
 
@@ -119,14 +141,15 @@ def tumbling_rate(spark, d):
     return timeseries.tumbling_rate(load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", 3600).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query()
+@query(_RATE)
 def stream_tumbling_rate(spark, d):
-    """The rates as a stream in append mode; the last intervals stay open behind the watermark."""
+    """The rates as a stream in append mode; the log's end lets the last intervals close."""
     path, out, at = scratch(spark, "log"), scratch(spark, "rates"), scratch(spark, "checkpoint")
     events = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    streams.close_log(spark, path, "ts", 3600, "10 minutes")
     streams.rates_to_folder(streams.read_log(spark, path, events.schema), "ts", "value", 3600, "10 minutes", out, at)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, true AS same FROM events GROUP BY user_id")
@@ -137,6 +160,43 @@ def keyed_order_check(spark, d):
     return streams.order_check(events.withColumn("arrival", F.struct("ts", "event_id")), received, "user_id", "arrival", "event_id")
 
 
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sent, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS got FROM events)
+SELECT user_id, bool_and(sent = got) AS same FROM n GROUP BY user_id""")
+def keyed_order_check_disorder(spark, d):
+    """Events that arrive in the order of their value: keys with more than one event have been disordered, unless values rose with time."""
+    events = load(spark, d, "events").select("user_id", "event_id", "ts", "value")
+    sent = events.withColumn("arrival", F.struct(F.col("ts").cast("string").alias("a"), "event_id"))
+    received = events.withColumn("arrival", F.struct("value", "event_id"))
+    return streams.order_check(sent, received, "user_id", "arrival", "event_id")
+
+
+@query("SELECT user_id, count(*) AS n, count(DISTINCT event_id) AS messages, 1 AS ranges FROM events GROUP BY user_id")
+def partition_ranges(spark, d):
+    """Four subscriptions on a quarter of the partitions each: together they get every message once, and a key's messages go to one of them."""
+    events = load(spark, d, "events").select("user_id", "event_id")
+    got = [streams.failover_range(events, "user_id", 16, low, low + 3).withColumn("range", F.lit(low)) for low in (0, 4, 8, 12)]
+    every = reduce(lambda a, b: a.unionByName(b), got)
+    return every.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("messages"), F.countDistinct("range").cast("int").alias("ranges"))
+
+
+@query("SELECT user_id, count(*) AS n, 1 AS partitions, max(event_id) AS latest FROM events GROUP BY user_id")
+def stream_keyed_sink(spark, d):
+    """The log sent on with its keys: every message arrives once, a key's messages in one partition."""
+    out = scratch(spark, "sent")
+    streams.keyed_sink(_log(spark, d, 6).select("user_id", "event_id"), "user_id", 16, out, scratch(spark, "checkpoint"))
+    sent = spark.read.parquet(out)
+    return sent.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("partition").cast("int").alias("partitions"), F.max("event_id").alias("latest"))
+
+
+@query("SELECT true AS enough, true AS numbered, true AS keyed")
+def stream_produce(spark, d):
+    """Messages at a rate until there are as many as customers, or for twenty seconds: numbered without a gap, with their keys."""
+    path, wanted = scratch(spark, "produced"), load(spark, d, "customer").count()
+    streams.produce(spark, max(100, wanted), wanted, path, scratch(spark, "checkpoint"), seconds=20)
+    made = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("value").alias("values"), F.max("value").alias("last"), F.min((F.col("value") % 1000).cast("string") == F.col("key")).alias("keyed"))
+    return made.select((F.col("n") >= wanted).alias("enough"), ((F.col("n") == F.col("values")) & (F.col("last") == F.col("n") - 1)).alias("numbered"), "keyed")
+
+
 @query()
 def partition_range(spark, d):
     return streams.failover_range(load(spark, d, "events").select("user_id", "event_id"), "user_id", 16, 4, 7)
@@ -159,6 +219,33 @@ def als_split(spark, d):
     return named[0].unionByName(named[1]).unionByName(named[2]).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user").alias("users"), F.countDistinct("item").alias("items"))
 
 
+_CAS = """h AS (SELECT event_id // 3 AS register, event_id % 3 AS step, CASE event_id % 3 WHEN 0 THEN 'write' WHEN 1 THEN 'cas' ELSE 'read' END AS op,
+CASE event_id % 3 WHEN 0 THEN user_id % 2 ELSE user_id // 2 % 2 END AS value, CASE event_id % 3 WHEN 1 THEN user_id % 2 END AS expected FROM events)"""
+
+
+def _registers(spark, d):
+    step, user = F.col("event_id") % 3, F.col("user_id")
+    op = F.when(step == 0, "write").when(step == 1, "cas").otherwise("read")
+    half = F.floor(user / 2) % 2
+    return load(spark, d, "events").select(F.floor(F.col("event_id") / 3).alias("register"), step.alias("at"), op.alias("op"), F.when(step == 0, user % 2).otherwise(half).alias("value"), F.when(step == 1, user % 2).alias("expected"))
+
+
+@query(f"""WITH {_CAS}, b AS (SELECT *, last_value(CASE WHEN op <> 'read' THEN value END IGNORE NULLS) OVER (PARTITION BY register ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h)
+SELECT register, bool_and(CASE op WHEN 'read' THEN value IS NOT DISTINCT FROM before WHEN 'cas' THEN expected IS NOT DISTINCT FROM before ELSE true END) AS valid FROM b GROUP BY register""")
+def register_check_cas(spark, d):
+    """Registers that are written, compared and set, and read, with values of which about a quarter agree."""
+    return streams.sequential_register(_registers(spark, d), "register", "at")
+
+
+@query(f"""WITH {_CAS}, r AS (SELECT register, max(value) FILTER (WHERE op = 'write') AS w, max(expected) AS e, max(value) FILTER (WHERE op = 'cas') AS c, max(value) FILTER (WHERE op = 'read') AS r,
+count(*) FILTER (WHERE op = 'write') AS nw, count(*) FILTER (WHERE op = 'cas') AS nc, count(*) FILTER (WHERE op = 'read') AS nr FROM h GROUP BY register)
+SELECT register, (nc = 0 OR (nw = 1 AND e = w)) AND (nr = 0 OR (nw = 1 AND r = w) OR (nc = 1 AND nw = 1 AND r = c)) AS valid FROM r""")
+def register_check_concurrent(spark, d):
+    """The same operations all at once: any order may explain them."""
+    history = _registers(spark, d).withColumns({"start": F.lit(0), "end": F.lit(1)})
+    return streams.linearizable_register(history, "register")
+
+
 def _ratings(spark, d):
     events = load(spark, d, "events")
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
@@ -166,6 +253,19 @@ def _ratings(spark, d):
     return recsys.parse_ratings(lines)
 
 
+@query("""WITH r AS (SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS INTEGER) AS item, value, floor(epoch(ts))::BIGINT % 10 AS digit FROM events),
+g AS (SELECT "user", item, avg(value) AS rating, min(digit) AS digit FROM r GROUP BY ALL), p AS (SELECT "user", avg(rating) AS prediction FROM g WHERE digit < 8 GROUP BY "user")
+SELECT count(*) AS n, round(sqrt(avg(power(rating - prediction, 2))), 4) AS rmse FROM g JOIN p USING ("user") WHERE digit >= 8""")
+def rmse_join(spark, d):
+    """Predictions, each user's mean rating, joined with the held-out ratings by user and item."""
+    ratings = _ratings(spark, d).groupBy("user", "item").agg(F.avg("rating").alias("rating"), F.min(F.col("ts") % 10).alias("digit"))
+    train, validation, test = recsys.split_by_digit(ratings, "digit")
+    means = train.unionByName(validation).groupBy("user").agg(F.avg("rating").alias("prediction"))
+    predictions = test.select("user", "item").join(means, "user").select("user", "item", "prediction")
+    joined = predictions.join(test, ["user", "item"])
+    return joined.agg(F.count(F.lit(1)).alias("n")).crossJoin(recsys.rmse(joined, "rating", "prediction").select(F.round("rmse", 4).alias("rmse")))
+
+
 @query()
 def als_scores(spark, d):
     """Implicit ALS over all events, and the ten best items of each user."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,6 +27,14 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
     q.awaitTermination()
 
 
+def close_log(spark: SparkSession, path: str, time: str, seconds: int, lateness: str) -> None:
+    """Append one row that is later than all others by an interval and the lateness, so that every interval with rows closes; its own never does."""
+    log = spark.read.parquet(path)
+    last = log.agg(F.max(time).alias(time)).filter(F.col(time).isNotNull())
+    end = last.select(F.expr(f"{time} + INTERVAL {int(seconds) + 1} SECONDS + INTERVAL {lateness}").alias(time))
+    end.select(*[F.col(time) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in log.schema]).write.mode("append").parquet(path)
+
+
 def rates_to_folder(stream: DataFrame, time: str, value: str, seconds: int, lateness: str, path: str, checkpoint: str) -> None:
     """Closed reporting intervals appended to a folder; the watermark lets an interval close."""
     rates = tumbling_rate(stream.withWatermark(time, lateness), time, value, seconds)
@@ -66,6 +76,48 @@ def sequential_register(history: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min(ok).alias("valid"))
 
 
+def linearizable_register(history: DataFrame, key: str) -> DataFrame:
+    """(key, valid): whether concurrent reads, writes and compare-and-sets of a register can have taken effect one by one, each between its start and its end.
+
+    history: op (read, write, cas), value, expected (for cas), start, end; a null end is an operation
+    whose outcome is unknown: it may take effect at any time after its start, or never. A cas that
+    returned found what it expects. The register begins with null. Deciding this needs all
+    operations of a key together; the search goes depth first and visits no state twice.
+    """
+    together = history.groupBy(key).agg(F.collect_list(F.struct("op", "value", "expected", "start", "end")).alias("ops"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            valid = [_linearizable([tuple(o.values()) for o in ops]) for ops in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(valid, pa.bool_())], names=[key, "valid"])
+
+    return together.mapInArrow(check, f"{key} {dict(history.dtypes)[key]}, valid boolean")
+
+
+def _linearizable(ops: list[tuple]) -> bool:
+    """Whether operations (op, value, expected, start, end) have an order that explains all of them."""
+    must = frozenset(i for i, o in enumerate(ops) if o[4] is not None)
+    seen, todo = set(), [(frozenset(), None)]
+    while todo:
+        state = todo.pop()
+        if state in seen:
+            continue
+        seen.add(state)
+        done, now = state
+        if must <= done:
+            return True
+        # nothing can take effect after the end of an operation that hasn't
+        limit = min(ops[i][4] for i in must - done)
+        for i, (op, value, expected, start, _) in enumerate(ops):
+            if i in done or start > limit:
+                continue
+            if op == "write" or (op == "cas" and expected == now):
+                todo.append((done | {i}, value))
+            elif op == "read" and value == now:
+                todo.append((done | {i}, now))
+    return False
+
+
 def compact(path: str, spark: SparkSession, group: Callable[[DataFrame], DataFrame], fanout: int = 2) -> None:
     """Merge segments of one schema under path/level=i like a binary counter: `fanout` segments of a level become one of the next.
 
@@ -109,13 +161,30 @@ def _next(fs, folder) -> int:
     return 1 + max((int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)), default=-1)
 
 
-def produce(spark: SparkSession, per_second: int, rows: int, path: str, checkpoint: str) -> None:
-    """Write at least `rows` numbered messages (key, value, timestamp) at a rate to a folder, then stop; keys are value % 1000."""
+def keyed_sink(stream: DataFrame, key: str, partitions: int, path: str, checkpoint: str, acknowledged: Callable[[int, int], None] | None = None) -> None:
+    """Send each message to the folder of its key's partition; a batch counts as sent when all of it is written.
+
+    A batch that is sent again after a failure replaces what it wrote before. acknowledged(batch, rows)
+    is called after each batch.
+    """
+
+    def send(df: DataFrame, number: int) -> None:
+        placed = df.withColumn("partition", partition_of(F.col(key), partitions)).repartition("partition")
+        placed.write.mode("overwrite").partitionBy("partition").parquet(f"{path}/batch={number}")
+        if acknowledged:
+            acknowledged(number, df.sparkSession.read.parquet(f"{path}/batch={number}").count())
+
+    run_available(stream, checkpoint, send)
+
+
+def produce(spark: SparkSession, per_second: int, rows: int, path: str, checkpoint: str, seconds: float | None = None) -> None:
+    """Write numbered messages (key, value, timestamp) at a rate to a folder until there are `rows` of them or `seconds` are over; keys are value % 1000."""
+    end = None if seconds is None else time.monotonic() + seconds
     rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
     messages = rate.select((F.col("value") % 1000).cast("string").alias("key"), "value", "timestamp")
     q = messages.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
     try:
-        while q.isActive and sum(p["numInputRows"] for p in q.recentProgress) < rows:
+        while q.isActive and sum(p["numInputRows"] for p in q.recentProgress) < rows and (end is None or time.monotonic() < end):
             q.awaitTermination(1)
     finally:
         q.stop()

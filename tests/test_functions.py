@@ -79,3 +79,27 @@ def test_strings(spark):
     assert one(spark, tx.words(F.col("s")), s="One, TWO--3!") == ["one", "two", "3"]
     assert one(spark, F.levenshtein(F.lit("googla"), F.lit("google"))) == 1
     assert abs(one(spark, tx.jaccard_estimate(F.lit(4), F.lit("googla"), F.lit("google"))) - 4 / 6) < 1e-12
+
+
+def test_words_of_simple_codecs_are_the_published_ones():
+    from millrace.functions.codecs import SIMPLE9, SIMPLE16, simple9, simple16
+
+    word = lambda data: int.from_bytes(data[8:12], "little")
+    assert all(sum(w) <= 28 for w in SIMPLE9) and all(sum(w) == 28 for w in SIMPLE16) and (len(SIMPLE9), len(SIMPLE16)) == (9, 16)
+    assert word(simple16([1] * 28)) == 0x0FFFFFFF
+    assert word(simple16([15] + [7] * 8)) == 0x5FFFFFFF
+    assert word(simple16([7, 15, 15, 15, 15, 7, 7, 7])) == 0x6FFFFFFF
+    assert word(simple16([5])) == 0x50000005
+    assert word(simple16([1023, 511, 511])) == 0xDFFFFFFF
+    assert word(simple16([2**28 - 1])) == 0xFFFFFFFF
+    assert word(simple9([3] * 14)) == 0x1FFFFFFF and word(simple9([2**28 - 1])) == 0x8FFFFFFF
+
+
+def test_long_lists_code_in_linear_time():
+    import time
+
+    xs = [i * 7919 % 5000 for i in range(60_000)]
+    began = time.perf_counter()
+    for to_bytes, to_numbers in CODECS.values():
+        assert to_numbers(to_bytes(xs)) == xs
+    assert time.perf_counter() - began < 20

@@ -95,3 +95,29 @@ def test_hot_keys(spark):
     p = profile_key(df, "k")
     assert (p.rows, p.keys, p.hot) == (1000, 401, (1,))
     assert profile_key(df.limit(0), "k").keys == 0 and profile_key(df.filter("k > 1"), "k").hot == ()
+
+
+def test_positions_need_no_single_task(spark):
+    import contextlib
+    import io
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), F.lit("x").alias("same"))
+    numbered = scan.with_positions(df, F.col("same"), ["k"])  # one bucket has all rows
+    assert {r.k: r.pos for r in numbered.collect()} == {k: k for k in range(5000)}
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        numbered.explain()
+    assert "SinglePartition" not in out.getvalue() and "Window" not in out.getvalue()
+    assert scan.with_positions(df.limit(0), F.col("k"), ["k"]).collect() == []
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from millrace.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf), conf=conf))

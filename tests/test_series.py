@@ -114,3 +114,81 @@ def test_stream_by_batches(spark, tmp_path):
     assert sum(n for _, n in seen) == 30 and len(seen) > 1
     streams.run_available(stream, str(tmp_path / "at"), lambda df, n: seen.append((n, df.count())))
     assert sum(n for _, n in seen) == 30  # committed batches aren't read again
+
+
+def test_overlaps_and_points_against_brute_force(spark, rows, monkeypatch):
+    import random
+
+    monkeypatch.setattr(runs, "CHUNK", 16)  # many runs cross the borders of chunks
+    rng = random.Random(6)
+
+    def made(gaps):
+        out, at = [], 0
+        for _ in range(40):
+            at += rng.randint(0, 3) if gaps else 0
+            length = rng.choice([1, 2, 5, 50])
+            out.append((rng.choice("kl"), rng.choice([1, 2, None]), at, length))
+            at += length
+        return out
+
+    a, b = made(True), made(True)
+    schema = "k string, val int, start long, length long"
+    truth = [(k, v, w, max(s, t), min(s + n, t + m) - max(s, t)) for k, v, s, n in a for j, w, t, m in b if k == j and s < t + m and t < s + n]
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    assert rows(runs.overlap(left, right, "k")) == sorted(truth, key=repr)
+    points = [(rng.choice("kl"), rng.randrange(700)) for _ in range(300)]
+    inside = [(k, p, v) for k, p in points for j, v, s, n in a if k == j and s <= p < s + n]
+    assert rows(runs.at_points(left, spark.createDataFrame(points, "k string, pos long"), "k")) == sorted(inside, key=repr)
+    empty = spark.createDataFrame([], schema)
+    assert rows(runs.overlap(left, empty, "k")) == [] == rows(runs.at_points(empty, spark.createDataFrame(points, "k string, pos long"), "k"))
+
+
+def test_concurrent_register(spark):
+    history = {
+        "both orders": ([("write", 1, None, 0, 10), ("read", None, None, 1, 2), ("read", 1, None, 3, 4)], True),
+        "read too late": ([("write", 1, None, 0, 1), ("read", None, None, 2, 3)], False),
+        "cas of either": ([("write", 1, None, 0, 5), ("write", 2, None, 0, 5), ("cas", 3, 1, 1, 6), ("read", 3, None, 7, 8)], True),
+        "two cas of one": ([("write", 1, None, 0, 1), ("cas", 2, 1, 2, 5), ("cas", 3, 1, 2, 5)], False),
+        "unknown outcome seen": ([("write", 1, None, 0, None), ("read", None, None, 1, 2), ("read", 1, None, 3, 4)], True),
+        "unknown outcome never": ([("write", 1, None, 0, None), ("read", None, None, 3, 4)], True),
+        "seen and gone": ([("write", 1, None, 0, None), ("read", 1, None, 1, 2), ("read", None, None, 3, 4)], False),
+    }
+    made = [(k, *op) for k, (ops, _) in history.items() for op in ops]
+    df = spark.createDataFrame(made, "k string, op string, value int, expected int, start int, end int")
+    assert {r.k: r.valid for r in streams.linearizable_register(df, "k").collect()} == {k: v for k, (_, v) in history.items()}
+
+
+def test_a_closed_log_gives_every_interval(spark, rows, tmp_path):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    made = spark.createDataFrame([(datetime(2024, 1, 1, h, m), float(h)) for h in range(3) for m in (1, 59)], "ts timestamp, value double")
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    made.write.parquet(path)
+    streams.close_log(spark, path, "ts", 3600, "10 minutes")
+    streams.rates_to_folder(streams.read_log(spark, path, made.schema), "ts", "value", 3600, "10 minutes", out, str(tmp_path / "at"))
+    assert rows(spark.read.parquet(out).select(F.hour("window_start"), "n", "mean_value")) == [(0, 2, 0.0), (1, 2, 1.0), (2, 2, 2.0)]
+    empty = str(tmp_path / "empty")
+    made.limit(0).write.parquet(empty)
+    streams.close_log(spark, empty, "ts", 3600, "10 minutes")
+    assert spark.read.parquet(empty).count() == 0
+
+
+def test_keyed_sink_acknowledges_what_it_wrote(spark, tmp_path):
+    for i in range(3):
+        spark.range(i * 10, i * 10 + 10).write.parquet(str(tmp_path / "in" / str(i)))
+    stream = streams.read_log(spark, str(tmp_path / "in" / "*"), "id long", 1)
+    sent = []
+    streams.keyed_sink(stream, "id", 4, str(tmp_path / "out"), str(tmp_path / "at"), lambda n, rows: sent.append(rows))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sum(sent) == 30 == got.count() and got.select("id").distinct().count() == 30
+    assert got.groupBy("id").agg({"partition": "count"}).count() == 30
+
+
+def test_production_ends_by_time(spark, tmp_path):
+    import time
+
+    began = time.monotonic()
+    streams.produce(spark, 10, 10**9, str(tmp_path / "made"), str(tmp_path / "at"), seconds=4)
+    assert 4 <= time.monotonic() - began < 30
