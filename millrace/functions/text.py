@@ -28,6 +28,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+#: Runs of one Japanese script, which stand for words where no blanks do.
+SCRIPT_RUNS = r"([\p{IsHan}々]+|\p{IsHiragana}+|[\p{IsKatakana}ー]+)"
+
+
+def unicode_words(text: Column) -> Column:
+    """Runs of letters and digits of any script in small letters, in order; Japanese is cut where the script changes."""
+    apart = F.regexp_replace(F.lower(text), SCRIPT_RUNS, " $1 ")
+    return F.filter(F.split(apart, r"[^\p{L}\p{N}\p{M}ー]+"), lambda w: w != "")
+
+
+def strip_marks(token: Column) -> Column:
+    """A token without anything but letters and digits, of any script, at its ends; empty if it has none."""
+    return F.regexp_replace(F.regexp_replace(token, r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+$", "")
+
+
 def qgrams(text: Column, q: int = 2) -> Column:
     """All runs of q characters, in order; an empty array for shorter texts."""
     n = F.char_length(text)

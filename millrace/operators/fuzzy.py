@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import jaccard_estimate, prefixes, qgrams
+from millrace.functions.kana import katakana, romanised
+from millrace.functions.text import jaccard_estimate, ordinary_width, prefixes, qgrams
 
 
 def gram_index(words: DataFrame, word: str, q: int = 2) -> DataFrame:
@@ -85,5 +86,31 @@ def prefix_index(entries: DataFrame, entry: str, score: str, order: str, k: int
     return spread.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select("prefix", "rank", entry, score)
 
 
+def reading_index(entries: DataFrame, entry: str, score: str, order: str, k: int = 10) -> DataFrame:
+    """(dictionary, prefix, rank, entry, score): prefix_index over an entry's readings, with a dictionary for Latin entries and one for Japanese.
+
+    Entries are compared in ordinary width and small letters; an entry that is listed again, in
+    whatever width or case, counts once, as first seen. What changes when its kana are written in Latin letters is Japanese
+    and found under that and under its katakana; all else is found under itself. Null entries are left
+    out, null scores are the lowest.
+    """
+    norm = F.lower(ordinary_width(F.col(entry)))
+    seen = entries.filter(F.col(entry).isNotNull()).select(norm.alias("entry"), F.col(score).alias("score"), F.col(order).alias("_order"))
+    first = seen.groupBy("entry").agg(F.min(F.struct("_order", "score")).alias("f")).select("entry", "f.score", "f._order")
+    read = first.withColumn("_roman", romanised(F.col("entry"))).withColumn("dictionary", F.when(F.col("_roman") == F.col("entry"), "latin").otherwise("japanese"))
+    readings = F.array_distinct(F.array("_roman", katakana(F.col("entry"))))
+    spread = read.withColumn("_reading", F.explode(F.when(F.col("dictionary") == "latin", F.array("entry")).otherwise(readings)))
+    spread = spread.select("dictionary", F.explode(prefixes(F.col("_reading"))).alias("prefix"), "entry", "score", "_order").distinct()
+    rank = F.row_number().over(Window.partitionBy("dictionary", "prefix").orderBy(F.desc_nulls_last("score"), "_order"))
+    return spread.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select("dictionary", "prefix", "rank", "entry", "score")
+
+
+def suggest_now(entries: DataFrame, entry: str, score: str, order: str, prefix: str, k: int = 10) -> DataFrame:
+    """(rank, entry, score): what prefix_index has for one prefix, from the entries that begin with it, without an index."""
+    first = entries.filter(F.col(entry).startswith(prefix)).groupBy(entry).agg(F.min_by(score, order).alias(score), F.min(order).alias("_order"))
+    best = first.orderBy(F.desc(score), "_order").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), "_order")).cast("bigint")).select("rank", entry, score)
+
+
 def suggest(index: DataFrame, prefix: str) -> DataFrame:
     return index.filter(F.col("prefix") == prefix).orderBy("rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -62,3 +62,24 @@ def apply_feed(base: DataFrame, feed: DataFrame, key: str, order: str) -> DataFr
     changes = feed.groupBy(F.col(key).alias("_key")).agg(last).select("c.*")
     kept = base.join(changes.select(key), key, "left_anti")
     return kept.unionByName(changes.filter("op <> 'DELETE'").select(*base.columns))
+
+
+def put_all(row: Column, other: Column) -> Column:
+    """A dynamic row, a map of names to values, with the values of another over its own."""
+    return F.map_zip_with(row, other, lambda k, mine, new: F.when(F.map_contains_key(other, k), new).otherwise(mine))
+
+
+def remove(row: Column, *names: str) -> Column:
+    """A dynamic row without these names."""
+    return F.map_filter(row, lambda k, _: ~k.isin(*names))
+
+
+def clear(row: Column) -> Column:
+    """A dynamic row without any name; null stays null."""
+    return F.map_filter(row, lambda k, v: F.lit(False))
+
+
+def same_row(a: Column, b: Column) -> Column:
+    """Whether two dynamic rows have the same names and values, in whatever order; a null value equals a null value."""
+    entries = lambda m: F.array_sort(F.map_entries(m))
+    return entries(a).eqNullSafe(entries(b))

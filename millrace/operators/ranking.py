@@ -21,6 +21,12 @@ def latest_per_key(df: DataFrame, key: str, order: list[str], columns: list[str]
     return df.groupBy(key).agg(last).select(key, *[F.col(f"_last._{c}").alias(c) for c in columns])
 
 
+def set_add(base: DataFrame, rows: DataFrame, key: str, member: str, score: str) -> DataFrame:
+    """Scored sets with members added; a member that is there gets the new score, of several new scores the highest."""
+    new = rows.groupBy(key, member).agg(F.max(score).alias(score))
+    return base.select(key, member, score).join(new.select(key, member), [key, member], "left_anti").unionByName(new)
+
+
 def set_extremes(df: DataFrame, key: str, member: str, score: str) -> DataFrame:
     """(key, n, best, worst): size of each scored set, its member with the highest and with the lowest score; ties go to the greater and lesser member."""
     pair = F.struct(score, member)

@@ -81,3 +81,12 @@ def row_container(spark, d):
     row = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))
     put = F.map_zip_with(row, F.create_map(F.lit("brand"), F.lit("new")), lambda k, old, new: F.coalesce(new, old))
     return load(spark, d, "part").select("p_partkey", put.alias("m")).select("p_partkey", F.upper(F.col("m")["name"]).alias("name"), F.col("m")["brand"].alias("brand"), F.map_contains_key("m", "size").alias("has_size"))
+
+
+@query("""SELECT p_partkey, CAST(CASE WHEN p_size > 25 THEN 1 ELSE 2 END AS INTEGER) AS after_remove, 0 AS after_clear, p_brand = 'Brand#11' AS same, p_name AS name FROM part""")
+def row_container_changes(spark, d):
+    """Dynamic rows from which names are taken, which are cleared, and compared with others."""
+    row = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))
+    sized = F.when(F.col("p_size") > 25, mutate.remove(row, "brand", "unknown")).otherwise(mutate.remove(row, "unknown"))
+    other = mutate.put_all(F.create_map(F.lit("brand"), F.lit("Brand#11"), F.lit("name"), F.lit("?")), F.create_map(F.lit("name"), F.col("p_name")))
+    return load(spark, d, "part").select("p_partkey", F.size(sized).alias("after_remove"), F.size(mutate.clear(row)).alias("after_clear"), mutate.same_row(row, other).alias("same"), sized["name"].alias("name"))

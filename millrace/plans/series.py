@@ -92,6 +92,18 @@ def zset_rev_top1(spark, d):
     return ranking.set_extremes(load(spark, d, "events"), "user_id", "event_id", "value")
 
 
+@query("""WITH e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type, value FROM events),
+b AS (SELECT user_id, k, min(value) AS score FROM e GROUP BY ALL), a AS (SELECT user_id, k, max(value) + 1000 AS score FROM e WHERE event_type = 'purchase' GROUP BY ALL),
+s AS (SELECT * FROM b WHERE (user_id, k) NOT IN (SELECT user_id, k FROM a) UNION ALL SELECT * FROM a)
+SELECT user_id, count(*) AS n, arg_max(k, (score, k)) AS best, arg_min(k, (score, k)) AS worst FROM s GROUP BY user_id""")
+def zset_add(spark, d):
+    """Each user's items scored by their least value; items that were bought get another score."""
+    items = load(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("k"), "event_type", "value")
+    base = items.groupBy("user_id", "k").agg(F.min("value").alias("score"))
+    bought = items.filter("event_type = 'purchase'").select("user_id", "k", (F.col("value") + 1000).alias("score"))
+    return ranking.set_extremes(ranking.set_add(base, bought, "user_id", "k", "score"), "user_id", "k", "score")
+
+
 @query("SELECT l_partkey, l_orderkey AS value, l_orderkey - lag(l_orderkey, 1, 0) OVER (PARTITION BY l_partkey ORDER BY l_orderkey) AS gap FROM (SELECT DISTINCT l_partkey, l_orderkey FROM lineitem)")
 def gap_encode(spark, d):
     return timeseries.gaps(load(spark, d, "lineitem").withColumnRenamed("l_orderkey", "value"), "l_partkey", "value")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import bayes, fuzzy, search
+from millrace.operators import bayes, fuzzy, query_string, search
 from millrace.plans.registry import query, scratch
 from millrace.sources.tables import load
 from millrace.streaming import streams
@@ -56,6 +56,39 @@ def phrase_ordinal(spark, d):
     return search.phrase(_tokens(spark, d), "doc_id", "hash", "table")
 
 
+_UNICODE = """list_filter(regexp_split_to_array(regexp_replace(lower({}), '([\\p{{Han}}々]+|\\p{{Hiragana}}+|[\\p{{Katakana}}ー]+)', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}\\p{{M}}ー]+'), lambda w: w <> '')"""
+
+
+@query(f"WITH l AS (SELECT doc_id, {_UNICODE.format('text')} AS ws FROM documents WHERE text IS NOT NULL) SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS term FROM l")
+def tokenise_unicode(spark, d):
+    """Words of every script."""
+    return search.tokenise(load(spark, d, "documents"), "doc_id", "text", tx.unicode_words(F.col("text")))
+
+
+@query("""WITH w AS (SELECT unnest(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+')) AS w FROM documents), s AS (SELECT regexp_replace(regexp_replace(w, '^[^\\p{L}\\p{N}]+', ''), '[^\\p{L}\\p{N}]+$', '') AS term FROM w)
+SELECT term, count(*) AS n FROM s WHERE term <> '' GROUP BY term""")
+def stripped_tokens(spark, d):
+    """How often each token between blanks occurs, without the marks at its ends."""
+    tokens = load(spark, d, "documents").select(F.explode(F.split(F.lower("text"), r"[ \t\r\n]+")).alias("w"))
+    return tokens.select(tx.strip_marks(F.col("w")).alias("term")).filter("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+_FIELDS = f"""t AS (SELECT doc_id, 'title' AS field, {_UNICODE.format('title')} AS ws FROM documents UNION ALL SELECT doc_id, 'text', {_UNICODE.format('text')} FROM documents),
+w AS (SELECT doc_id, field, unnest(range(len(ws))) AS pos, unnest(ws) AS term FROM t WHERE ws IS NOT NULL), n AS (SELECT count(*) AS n FROM documents),
+a AS (SELECT doc_id, count(*) AS tf FROM w WHERE field = 'title' AND term = 'index' GROUP BY doc_id),
+b AS (SELECT x.doc_id, count(*) AS tf FROM w x JOIN w y ON y.doc_id = x.doc_id AND y.field = x.field AND y.pos = x.pos + 1 WHERE x.field = 'text' AND x.term = 'hash' AND y.term = 'table' GROUP BY x.doc_id),
+c AS (SELECT doc_id, count(*) AS tf FROM w WHERE field = 'text' AND term = 'query' GROUP BY doc_id), e AS (SELECT doc_id, count(*) AS tf FROM w WHERE field = 'text' AND term = 'planner' GROUP BY doc_id),
+s AS (SELECT doc_id, tf * ln(n * 1.0 / (SELECT count(*) FROM a)) AS score FROM a, n UNION ALL SELECT doc_id, tf * ln(n * 1.0 / (SELECT count(*) FROM b)) FROM b, n
+UNION ALL SELECT c.doc_id, c.tf * ln(n * 1.0 / (SELECT count(*) FROM c)) FROM c, n WHERE c.doc_id NOT IN (SELECT doc_id FROM e))"""
+
+
+@query(f"WITH {_FIELDS} SELECT doc_id, round(sum(score), 6) AS score, any_value(title) AS title FROM s JOIN documents USING (doc_id) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 5")
+def field_query(spark, d):
+    """Ranked hits of a query string over two fields, with a stored one."""
+    text = 'title:index OR "hash table" OR (text:query AND NOT text:planner)'
+    return query_string.search(load(spark, d, "documents"), "doc_id", {"title": F.col("title"), "text": F.col("text")}, text, "text", 5, ("title",))
+
+
 _PLACED = """p AS (SELECT doc_id, regexp_extract_all(text, '[ \\t\\r\\n]*[^ \\t\\r\\n]+') AS ps FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, unnest(range(len(ps))) AS pos, unnest(ps) AS piece FROM p),
 y AS (SELECT doc_id, pos, lower(regexp_replace(piece, '^[ \\t\\r\\n]+', '')) AS term, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) - length(regexp_replace(piece, '^[ \\t\\r\\n]+', '')) AS BIGINT) AS o FROM x)"""
@@ -186,7 +219,15 @@ def suggest_lookup(spark, d):
     """Suggestions for the first two letters of the first name."""
     part = load(spark, d, "part")
     prefix = part.agg(F.substring(F.min("p_name"), 1, 2)).first()[0] or ""
-    return fuzzy.suggest(prefix_suggest(spark, d), prefix).select("rank", "entry", "score")
+    entries = part.select(F.col("p_name").alias("entry"), F.col("p_size").alias("score"), "p_partkey")
+    return fuzzy.suggest_now(entries, "entry", "score", "p_partkey", prefix)
+
+
+@query()
+def suggest_readings(spark, d):
+    """Suggestions for every prefix of every keyword's readings, in a Latin and a Japanese dictionary."""
+    keys = load(spark, d, "correctme").groupBy("key_id", "keys").agg(F.max("score").alias("score"))
+    return fuzzy.reading_index(keys, "keys", "score", "key_id")
 
 
 @query(f"""WITH {_NAMES}, g AS (SELECT DISTINCT word, substr(word, CAST(i AS BIGINT), 2) AS gram FROM names, range(1, 40) t(i) WHERE i < length(word)),
