@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import bayes, fuzzy, query_string, search
+from millrace.operators import bayes, fuzzy, query_string, search, small_ml
 from millrace.plans.registry import query, scratch
 from millrace.sources.tables import load
 from millrace.streaming import streams
@@ -341,10 +341,52 @@ def nb_decision(spark, d):
     return bayes.ranked(_mnb(spark, d)[0], "doc_id", "cat").filter("rank = 1").select("doc_id", "cat")
 
 
+def _dear(spark, d, yes, no):
+    """Items by return flag and supplier: quantity and discount, and whether the item is dear."""
+    dear = F.when(F.col("l_extendedprice") > 38000, float(yes)).otherwise(float(no))
+    return load(spark, d, "lineitem").select("l_returnflag", "l_suppkey", (F.col("l_quantity") / 50).alias("quantity"), F.col("l_discount").alias("discount"), dear.alias("dear"), F.struct("l_orderkey", "l_linenumber").alias("at"))
+
+
+def _rounded(df):
+    return df.select("l_returnflag", "l_suppkey", F.transform("weights", lambda w: F.round(w, 9)).alias("weights"))
+
+
 @query()
 def perceptron_by_flag(spark, d):
-    """A step unit per return flag that learns from quantity and discount whether an item is dear, on means per line number and supplier."""
-    from millrace.operators.small_ml import perceptron
+    """A step unit per return flag and supplier that learns from every item in order whether it is dear."""
+    return _rounded(small_ml.perceptron(_dear(spark, d, 1, 0), ["l_returnflag", "l_suppkey"], ["quantity", "discount"], "dear", "at"))
+
+
+@query()
+def tanh_by_flag(spark, d):
+    """A tanh unit per return flag and supplier that learns the same."""
+    return _rounded(small_ml.tanh_unit(_dear(spark, d, 1, -1), ["l_returnflag", "l_suppkey"], ["quantity", "discount"], "dear", "at"))
+
+
+@query("SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(xor(a, b) AS DOUBLE) AS prediction FROM range(2) x(a), range(2) y(b)")
+def network_xor(spark, d):
+    """What a network with one hidden layer has learnt of exclusive or."""
+    corners = spark.range(4).select((F.col("id") % 2).cast("double").alias("a"), F.floor(F.col("id") / 2).cast("double").alias("b"))
+    rows = corners.withColumn("y", (F.col("a") + F.col("b")) % 2)
+    return small_ml.network(rows, ["a", "b"], "y", hidden=4).transform(rows).select("a", "b", "prediction")
+
+
+# ---- structured records as text and bytes
+
+_RECORDS = """r AS (SELECT doc_id AS id, list_filter([{'name': 'title', 'value': title}, {'name': 'lang', 'value': lang}, {'name': 'text', 'value': text}], lambda f: f.value IS NOT NULL) AS fields FROM documents)"""
+
+
+@query(f"WITH {_RECORDS} SELECT id, len(fields) AS n, array_to_string(list_transform(fields, lambda f: f.name), ',') AS names, array_to_string(list_transform(fields, lambda f: f.value), '|') AS \"values\", true AS as_text, "
+       "CAST(octet_length(encode(array_to_string(list_transform(fields, lambda f: f.name || f.value), ''))) AS BIGINT) AS payload FROM r")
+def record_messages(spark, d):
+    """Documents as records of named fields, through their binary and their text form and back."""
+    from millrace.functions import messages
 
-    means = load(spark, d, "lineitem").groupBy("l_returnflag", "l_suppkey").agg((F.avg("l_quantity") / 50).alias("quantity"), F.avg("l_discount").alias("discount"), (F.avg("l_extendedprice") > 38000).cast("double").alias("dear"))
-    return perceptron(means, "l_returnflag", ["quantity", "discount"], "dear", "l_suppkey", epochs=20).select("l_returnflag", F.transform("weights", lambda w: F.round(w, 9)).alias("weights"))
+    field = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("name"), F.col(c).alias("value")))
+    records = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_compact(F.array(*map(field, ("title", "lang", "text")))).alias("fields"))
+    coded = records.select("id", "fields", messages.to_message(F.col("id"), F.col("fields")).alias("message"), F.to_json(F.struct("id", "fields")).alias("json"))
+    back = coded.select("id", "fields", messages.from_message(F.col("message")).alias("m"), F.from_json("json", messages.RECORD).alias("j"))
+    return back.select(
+        F.col("m.id").alias("id"), F.size("m.fields").cast("bigint").alias("n"), F.concat_ws(",", "m.fields.name").alias("names"), F.concat_ws("|", "m.fields.value").alias("values"),
+        ((F.col("j.id") == F.col("id")) & (F.col("j.fields") == F.col("fields"))).alias("as_text"), F.octet_length(F.array_join(F.transform("m.fields", lambda f: F.concat(f["name"], f["value"])), "")).cast("bigint").alias("payload"),
+    )
