@@ -56,7 +56,7 @@ def test_corpus(spark, public):
 
 
 def test_whole_table_against_the_library(spark, public):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r.ids for r in encode_corpus(docs, "doc_id", "text", FILE).collect()}
     texts = [(r.doc_id, r.text or "") for r in docs.collect()]
     assert got == dict(zip([i for i, _ in texts], public([t for _, t in texts])))
