@@ -32,12 +32,12 @@ def inverted_index(tokens: DataFrame, id: str, place: str = "pos") -> DataFrame:
     return tokens.groupBy("term", id).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list(place)).alias("positions"))
 
 
-def merge_segments(segments: Iterable[DataFrame], id: str) -> DataFrame:
-    """One index from several: postings of the same term and document are joined, their positions in order."""
+def merge_segments(segments: Iterable[DataFrame], id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One index from several: postings of the same term and document are joined, their positions in order. keep: columns that keep postings apart."""
     merged = None
     for s in segments:
         merged = s if merged is None else merged.unionByName(s)
-    return merged.groupBy("term", id).agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return merged.groupBy(*keep, "term", id).agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def term_lookup(index: DataFrame, term: str) -> DataFrame:

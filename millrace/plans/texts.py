@@ -41,13 +41,13 @@ def posting_intersection(spark, d):
 
 @query(f"WITH {_TOKENS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT term, doc_id, count(*) AS tf FROM tokens GROUP BY term, doc_id) GROUP BY term")
 def segment_merge(spark, d):
-    """The index built in four segments, written as level 0 and compacted level by level."""
+    """The index in segments of about 200 kB of text each, written in one pass, and merged by four level by level."""
     path = scratch(spark, "segments")
     docs = load(spark, d, "documents")
-    for i in range(4):
-        part = docs.filter(F.pmod("doc_id", F.lit(4)) == i)
-        streams.add_segment(search.inverted_index(search.tokenise(part, "doc_id", "text"), "doc_id"), path)
-        streams.compact(path, spark, lambda s: search.merge_segments([s], "doc_id"))
+    segment, n = streams.segments_by_size(docs, "doc_id", F.octet_length("text"), 200_000)
+    postings = search.inverted_index(search.tokenise(docs, "doc_id", "text"), "doc_id")
+    streams.add_segments(postings.withColumn("segment", segment), path, n)
+    streams.compact(path, spark, lambda s: search.merge_segments([s], "doc_id", ("segment",)), 4)
     return streams.read_segments(spark, path).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 

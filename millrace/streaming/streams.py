@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from millrace.operators.timeseries import tumbling_rate
 
@@ -119,46 +120,118 @@ def _linearizable(ops: list[tuple]) -> bool:
 
 
 def compact(path: str, spark: SparkSession, group: Callable[[DataFrame], DataFrame], fanout: int = 2) -> None:
-    """Merge segments of one schema under path/level=i like a binary counter: `fanout` segments of a level become one of the next.
+    """Merge segments of one schema like a counter of base `fanout`: so many segments of a level become one of the next.
 
-    Every segment is a folder level=i/segment=j. A merged segment is written whole before its sources go.
+    group gets the rows of all segments that are merged on a level, with the column `segment` that tells
+    the new segment; if it keeps that column it is called once a level, else once a new segment. A
+    level is merged in one job. The merged segments count from the moment the list of segments names
+    them instead of their sources; a failure before leaves the old list, one after it only files that
+    nobody reads.
     """
-    fs, root = _files(spark, path)
     level = 0
     while True:
-        folder = root(f"level={level}")
-        if not fs.exists(folder):
-            return
-        segments = sorted(s.getPath().toString() for s in fs.listStatus(folder))
-        while len(segments) >= fanout:
-            sources, segments = segments[:fanout], segments[fanout:]
-            to = root(f"level={level + 1}/segment={_next(fs, root(f'level={level + 1}'))}")
-            group(spark.read.option("basePath", path).parquet(*sources).drop("level", "segment")).write.parquet(to.toString())
-            for s in sources:
-                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(s), True)
+        segments = _listed(spark, path)
+        own = [s for s in segments if s[0] == level]
+        if not own:
+            if not any(s[0] > level for s in segments):
+                return
+        elif len(own) >= fanout:
+            groups = [own[i : i + fanout] for i in range(0, len(own) // fanout * fanout, fanout)]
+            first = 1 + max((s[1] for s in segments if s[0] == level + 1), default=-1)
+            made = [(level + 1, first + i) for i in range(len(groups))]
+            to = F.create_map(*[F.lit(x) for g, (_, n) in zip(groups, made, strict=True) for s in g for x in (s[1], n)])
+            rows = _read(spark, path, [s for g in groups for s in g], numbered=True).withColumn("segment", to[F.col("segment")])
+            merged = group(rows)
+            if "segment" not in merged.columns:
+                parts = [group(rows.filter(F.col("segment") == n).drop("segment")).withColumn("segment", F.lit(n)) for _, n in made]
+                merged = reduce(DataFrame.unionByName, parts)
+            _write_segments(merged, path, level + 1)
+            gone = [s for g in groups for s in g]
+            _list(spark, path, [s for s in segments if s not in gone] + made)
+            fs, root = _files(spark, path)
+            for s in gone:
+                fs.delete(root(_folder(s)), True)
         level += 1
 
 
 def add_segment(df: DataFrame, path: str) -> None:
     """Write a new segment of level 0."""
-    fs, root = _files(df.sparkSession, path)
-    df.write.parquet(root(f"level=0/segment={_next(fs, root('level=0'))}").toString())
+    add_segments(df.withColumn("segment", F.lit(0)), path, 1)
+
+
+def add_segments(df: DataFrame, path: str, n: int) -> None:
+    """Write n new segments of level 0; the column `segment` has their numbers from 0 on."""
+    spark = df.sparkSession
+    segments = _listed(spark, path)
+    first = 1 + max((s[1] for s in segments if s[0] == 0), default=-1)
+    _write_segments(df.withColumn("segment", F.col("segment") + first), path, 0)
+    _list(spark, path, segments + [(0, first + i) for i in range(n)])
+
+
+def segments_by_size(df: DataFrame, id: str, size: Column, bound: int) -> tuple[Column, int]:
+    """(the segment of a row, number of segments): rows go by a hash of their id to as many segments as keep each at about `bound` of `size`."""
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = max(1, -(-total // bound))
+    return F.pmod(F.xxhash64(id), F.lit(n)).cast("int"), n
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+    return _read(spark, path, _listed(spark, path))
+
+
+def _folder(segment: tuple[int, int]) -> str:
+    return f"level={segment[0]}/segment={segment[1]}"
+
+
+def _read(spark: SparkSession, path: str, segments: list[tuple[int, int]], numbered: bool = False) -> DataFrame:
+    """The rows of segments; numbered: with `segment`."""
+    # a segment without rows has no files
+    fs, root = _files(spark, path)
+    there = [root(_folder(s)) for s in segments]
+    there = [p.toString() for p in there if fs.exists(p)]
+    schema = spark.read.parquet(f"{path}.schema").schema
+    if not there:
+        empty = spark.createDataFrame([], schema)
+        return empty.withColumn("segment", F.lit(0)) if numbered else empty
+    rows = spark.read.option("basePath", path).schema(schema.add("level", IntegerType()).add("segment", IntegerType())).parquet(*there)
+    return rows.drop("level") if numbered else rows.drop("level", "segment")
+
+
+def _write_segments(df: DataFrame, path: str, level: int) -> None:
+    fs, root = _files(df.sparkSession, f"{path}.schema")
+    if not fs.exists(root("")):
+        df.drop("segment").limit(0).write.mode("overwrite").parquet(f"{path}.schema")
+    df.repartition("segment").write.mode("append").partitionBy("segment").parquet(f"{path}/level={level}")
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """The segments that count: those of the latest list beside the folder."""
+    fs, root = _files(spark, f"{path}.lists")
+    if not fs.exists(root("")):
+        return []
+    numbers = [int(f.getPath().getName()) for f in fs.listStatus(root("")) if f.getPath().getName().isdigit()]
+    if not numbers:
+        return []
+    rows = spark.read.json(f"{path}.lists/{max(numbers)}", schema="level int, segment int").collect()
+    return sorted((r.level, r.segment) for r in rows)
+
+
+def _list(spark: SparkSession, path: str, segments: list[tuple[int, int]]) -> None:
+    """Name the segments that count. A list is written aside and appears under the next number by one renaming."""
+    fs, root = _files(spark, f"{path}.lists")
+    numbers = [int(f.getPath().getName()) for f in fs.listStatus(root("")) if f.getPath().getName().isdigit()] if fs.exists(root("")) else []
+    aside, to = root("aside"), root(str(1 + max(numbers, default=0)))
+    spark.createDataFrame(segments, "level int, segment int").coalesce(1).write.mode("overwrite").json(aside.toString())
+    if not fs.rename(aside, to):
+        raise OSError(f"can't name the segments of {path}")
+    for n in numbers:
+        fs.delete(root(str(n)), True)
 
 
 def _files(spark: SparkSession, path: str):
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(path)
-    return base.getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: jvm.org.apache.hadoop.fs.Path(base, name)
-
-
-def _next(fs, folder) -> int:
-    if not fs.exists(folder):
-        return 0
-    return 1 + max((int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(folder)), default=-1)
+    return base.getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: jvm.org.apache.hadoop.fs.Path(base, name) if name else base
 
 
 def keyed_sink(stream: DataFrame, key: str, partitions: int, path: str, checkpoint: str, acknowledged: Callable[[int, int], None] | None = None) -> None:

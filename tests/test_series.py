@@ -192,3 +192,29 @@ def test_production_ends_by_time(spark, tmp_path):
     began = time.monotonic()
     streams.produce(spark, 10, 10**9, str(tmp_path / "made"), str(tmp_path / "at"), seconds=4)
     assert 4 <= time.monotonic() - began < 30
+
+
+def test_segments_by_size_merge_by_several_and_survive_a_failure(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from millrace.operators.search import merge_segments
+
+    path = str(tmp_path / "index")
+    df = spark.range(100).select(F.col("id").alias("doc"), F.lit("t").alias("term"), F.lit(1).cast("long").alias("tf"), F.array(F.lit(0).cast("long")).alias("positions"))
+    segment, n = streams.segments_by_size(df, "doc", F.lit(10), 100)
+    assert n == 10
+    streams.add_segments(df.withColumn("segment", segment), path, n)
+
+    def fails(s):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        streams.compact(path, spark, fails, 4)
+    assert streams.read_segments(spark, path).count() == 100
+    # files that no list names are no segments, such as those of a merge that ended before its list
+    spark.range(1).select(F.lit("x").alias("term"), F.lit(1).cast("long").alias("doc"), F.lit(1).cast("long").alias("tf"), F.array(F.lit(0).cast("long")).alias("positions")).write.parquet(f"{path}/level=1/segment=9")
+    assert streams.read_segments(spark, path).count() == 100
+    streams.compact(path, spark, lambda s: merge_segments([s], "doc", ("segment",)), 4)
+    assert [s[0] for s in streams._listed(spark, path)] == [0, 0, 1, 1]
+    assert sorted(r.doc for r in streams.read_segments(spark, path).collect()) == list(range(100))
