@@ -15,7 +15,7 @@ def gram_index(words: DataFrame, word: str, q: int = 2) -> DataFrame:
 
 
 def _rare_grams(texts: DataFrame, text: str, frequencies: DataFrame, threshold: float, side: str) -> DataFrame:
-    """(code, text, <side>size, <side>all): of each text so many of its rarest bigrams that no text similar enough lacks all of them, and the codes of all.
+    """(code, text, <side>size, <side>all, <side>at): of each text so many of its rarest bigrams that no text similar enough lacks all of them, the codes of all in this order, and the place of this one.
 
     Two texts that reach the threshold share at least threshold * (length - 1) bigrams of either; in a
     common order of bigrams, the first of them is then among the first (bigrams - that + 1) of both.
@@ -24,7 +24,7 @@ def _rare_grams(texts: DataFrame, text: str, frequencies: DataFrame, threshold:
     ranked = _coded(texts, text).join(frequencies, "code", "left").select(text, F.struct(F.coalesce("n", F.lit(0)).alias("n"), "code").alias("g"))
     grams = ranked.groupBy(text).agg(F.sort_array(F.collect_list("g")).alias("gs")).select(text, F.char_length(text).alias(size), F.col("gs.code").alias(every))
     least = F.ceil((F.col(size) - 1) * threshold - 1e-9).cast("int")
-    return grams.select(F.explode(F.slice(every, F.lit(1), F.greatest(F.size(every) - least + 1, F.lit(0)))).alias("code"), text, size, every)
+    return grams.select(F.posexplode(F.slice(every, F.lit(1), F.greatest(F.size(every) - least + 1, F.lit(0)))).alias(f"{side}at", "code"), text, size, every)
 
 
 def _coded(texts: DataFrame, text: str) -> DataFrame:
@@ -36,15 +36,18 @@ def _coded(texts: DataFrame, text: str) -> DataFrame:
 def correct(queries: DataFrame, words: DataFrame, query: str, word: str, threshold: float = 0.4, k: int = 10) -> DataFrame:
     """(query, word, distance, rank): the k nearest words by edit distance among those that share enough bigrams.
 
-    Candidates share one of their rare bigrams and have lengths that allow the threshold; the bigrams
-    of these pairs only are compared, as numbers. Ties go to the lesser word.
+    Candidates share one of their rare bigrams, at places and with lengths that allow the threshold; the
+    bigrams of these pairs only are compared, as numbers. Ties go to the lesser word.
     """
     frequencies = _coded(words, word).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     asked, index = _rare_grams(queries, query, frequencies, threshold, "_a"), _rare_grams(words, word, frequencies, threshold, "_b")
     # of two lengths the shorter has at most its own bigrams in common
     near = (F.least("_asize", "_bsize") - 1) >= threshold * (F.greatest("_asize", "_bsize") - 1) - 1e-9
+    # at most so many can be shared that come before this bigram in both, and after it
+    most = F.least("_aat", "_bat") + 1 + F.least(F.size("_aall") - F.col("_aat"), F.size("_ball") - F.col("_bat")) - 1
+    needed = threshold * (F.col("_asize") + F.col("_bsize") - 2) / (1 + threshold) - 1e-9
     common = F.size(F.array_intersect("_aall", "_ball"))
-    pairs = asked.join(index, "code").filter(near).filter(jaccard_estimate(common, F.col(query), F.col(word)) >= threshold).select(query, word).distinct()
+    pairs = asked.join(index, "code").filter(near & (most >= needed)).filter(jaccard_estimate(common, F.col(query), F.col(word)) >= threshold).select(query, word).distinct()
     kept = pairs.withColumn("distance", F.levenshtein(query, word))
     rank = F.row_number().over(Window.partitionBy(query).orderBy("distance", word))
     return kept.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select(query, word, "distance", "rank")
