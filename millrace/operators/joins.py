@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import ensure_checkpoints
+
 
 def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has at most `rows` rows; one more than these are counted, no more."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df, marked for broadcast if it has at most `rows` rows. It is computed once, for counting and for the join."""
+    ensure_checkpoints(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= rows else kept
 
 
 def semi_chain(tables: list[DataFrame], keys: list[tuple[str, str]]) -> DataFrame:

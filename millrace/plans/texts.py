@@ -145,7 +145,7 @@ def html_unescape(spark, d):
     return load(spark, d, "documents").select("doc_id", tx.unescape(F.col("text")).alias("plain"), F.url_encode("source").alias("url"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'))) AS text FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g'), ' ')) AS text FROM documents")
 def normalise_text_all(spark, d):
     """Texts of every language, and of none."""
     return load(spark, d, "documents").select("doc_id", tx.normalise(F.col("text")).alias("text"))
