@@ -33,11 +33,11 @@ def _coded(texts: DataFrame, text: str) -> DataFrame:
     return gram_index(texts, text).select(code.alias("code"), text)
 
 
-def correct(queries: DataFrame, words: DataFrame, query: str, word: str, threshold: float = 0.4, k: int = 10) -> DataFrame:
-    """(query, word, distance, rank): the k nearest words by edit distance among those that share enough bigrams.
+def _alike(queries: DataFrame, words: DataFrame, query: str, word: str, threshold: float) -> DataFrame:
+    """(query, word, common): the pairs whose estimated similarity reaches the threshold, with their shared bigrams.
 
     Candidates share one of their rare bigrams, at places and with lengths that allow the threshold; the
-    bigrams of these pairs only are compared, as numbers. Ties go to the lesser word.
+    bigrams of these pairs only are compared, as numbers.
     """
     frequencies = _coded(words, word).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     asked, index = _rare_grams(queries, query, frequencies, threshold, "_a"), _rare_grams(words, word, frequencies, threshold, "_b")
@@ -47,12 +47,24 @@ def correct(queries: DataFrame, words: DataFrame, query: str, word: str, thresho
     most = F.least("_aat", "_bat") + 1 + F.least(F.size("_aall") - F.col("_aat"), F.size("_ball") - F.col("_bat")) - 1
     needed = threshold * (F.col("_asize") + F.col("_bsize") - 2) / (1 + threshold) - 1e-9
     common = F.size(F.array_intersect("_aall", "_ball"))
-    pairs = asked.join(index, "code").filter(near & (most >= needed)).filter(jaccard_estimate(common, F.col(query), F.col(word)) >= threshold).select(query, word).distinct()
-    kept = pairs.withColumn("distance", F.levenshtein(query, word))
+    met = asked.join(index, "code").filter(near & (most >= needed)).select(query, word, common.alias("common"))
+    return met.filter(jaccard_estimate(F.col("common"), F.col(query), F.col(word)) >= threshold).distinct()
+
+
+def correct(queries: DataFrame, words: DataFrame, query: str, word: str, threshold: float = 0.4, k: int = 10) -> DataFrame:
+    """(query, word, distance, rank): the k nearest words by edit distance among those that share enough bigrams. Ties go to the lesser word."""
+    kept = _alike(queries, words, query, word, threshold).withColumn("distance", F.levenshtein(query, word))
     rank = F.row_number().over(Window.partitionBy(query).orderBy("distance", word))
     return kept.withColumn("rank", rank.cast("bigint")).filter(F.col("rank") <= k).select(query, word, "distance", "rank")
 
 
+def similar_pairs(words: DataFrame, word: str, threshold: float = 0.4) -> DataFrame:
+    """(a, b, common, jaccard): pairs a < b of distinct words whose estimated similarity reaches the threshold; words of one character have none."""
+    texts = words.select(F.col(word).alias("a")).filter("a is not null").distinct()
+    pairs = _alike(texts, texts.withColumnRenamed("a", "b"), "a", "b", threshold).filter("a < b")
+    return pairs.select("a", "b", F.col("common").cast("bigint").alias("common"), jaccard_estimate(F.col("common"), F.col("a"), F.col("b")).alias("jaccard"))
+
+
 def _segments(length: Column, distance: int) -> Column:
     """(i, start, size) of the distance + 1 segments of a word of this length, the longer ones last; start counts from 1."""
     n = F.lit(distance + 1)

@@ -246,6 +246,14 @@ def jaccard_pairs_keys(spark, d):
     return _jaccard(_keys(spark, d))
 
 
+@query(f"""WITH {_KEYS}, g AS (SELECT DISTINCT word, substr(word, CAST(i AS BIGINT), 2) AS gram FROM keys, range(1, 200) t(i) WHERE i < length(word)),
+c AS (SELECT a.word AS a, b.word AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.word < b.word GROUP BY ALL)
+SELECT a, b, common, round(common / (length(a) + length(b) - 2 - common), 6) AS jaccard FROM c WHERE common / (length(a) + length(b) - 2 - common) >= 0.4""")
+def jaccard_similar_keys(spark, d):
+    """Pairs of keywords that are similar enough to be taken for each other, without listing all that share a bigram."""
+    return fuzzy.similar_pairs(_keys(spark, d), "word").withColumn("jaccard", F.round("jaccard", 6))
+
+
 def _jaccard(words):
     grams = fuzzy.gram_index(words, "word")
     a, b = grams.select("gram", F.col("word").alias("a")), grams.select("gram", F.col("word").alias("b"))

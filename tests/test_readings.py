@@ -59,3 +59,21 @@ def test_scored_set_add(spark, rows):
     base = spark.createDataFrame([("s", "a", 1.0), ("s", "b", 2.0), ("t", "a", 3.0)], "k string, m string, v double")
     new = spark.createDataFrame([("s", "a", 5.0), ("s", "a", 4.0), ("u", "c", 1.0)], "k string, m string, v double")
     assert rows(ranking.set_add(base, new, "k", "m", "v")) == [("s", "a", 5.0), ("s", "b", 2.0), ("t", "a", 3.0), ("u", "c", 1.0)]
+
+
+def test_similar_pairs_against_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("abcé日") for _ in range(rng.randint(1, 9))) for _ in range(120)})
+    grams = {w: {w[i : i + 2] for i in range(len(w) - 1)} for w in words}
+    truth = {}
+    for a in words:
+        for b in words:
+            common = len(grams[a] & grams[b])
+            if a < b and common and common / (len(a) + len(b) - 2 - common) >= 0.4:
+                truth[a, b] = common
+    df = spark.createDataFrame([(w,) for w in [*words, *words[:5], None]], "w string")
+    found = fuzzy.similar_pairs(df, "w").collect()
+    assert {(r.a, r.b): r.common for r in found} == truth and len(found) == len(truth) > 20
+    assert fuzzy.similar_pairs(df.limit(0), "w").collect() == []
