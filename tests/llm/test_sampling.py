@@ -146,3 +146,55 @@ def test_two_margins_of_nb(spark):
     report = p2_margins(spark, "/root/testdata/sf0.001").collect()
     assert {r.margin for r in report} == {"cat", "quarter"}
     assert all(r.gap == max(r.quota - r.available, 0) and (r.gap == 0 or r.excess == 0) for r in report)
+
+
+def test_repair_looks_at_all_cells_whatever_the_driver_holds(spark):
+    import random
+
+    rng = random.Random(5)
+    members = [(i, m, f"{m}{rng.randint(0, 9)}") for i in range(3000) for m in "ab"]
+    wanted = [(m, f"{m}{i}", 0.1) for m in "ab" for i in range(10)]
+    for held in (5, 1):
+        sample, report = two_margins(spark, members, wanted, sample_share=0.3, held=held)
+        assert len(sample) == 900
+        assert all((quota, got, gap, excess) == (90, 90, 0, 0) for quota, _, got, gap, excess in report.values())
+
+
+def spread_repair(spark, cells, n, taken, need, held):
+    from millrace.llm.sampling import SpreadRepair
+
+    df = spark.createDataFrame(list(zip(cells, n, taken)), "members array<struct<margin string, label string>>, n long, taken long")
+    got = {tuple(tuple(m) for m in r.members): (r.n, r.taken) for r in SpreadRepair(df, need, held).run().collect()}
+    return [got[c] for c in cells]
+
+
+def test_spread_repair_finds_chains_over_several_cells(spark):
+    cells = [(("a", "1"), ("b", "1")), (("a", "2"), ("b", "1")), (("a", "2"), ("b", "2")), (("a", "3"), ("b", "2"))]
+    need = {("a", "1"): 1, ("a", "2"): 0, ("a", "3"): -1, ("b", "1"): 0, ("b", "2"): 0}
+    assert spread_repair(spark, cells, [1] * 4, [0, 1, 0, 1], need, 1) == [(1, 1), (1, 0), (1, 1), (1, 0)]
+    assert not any(need.values())
+
+
+def test_spread_repair_reaches_every_quota_that_two_margins_allow(spark):
+    import random
+
+    rng = random.Random(8)
+    for held in (1, 4, 9):
+        cells = [(("a", str(i)), ("b", str(j))) for i in range(5) for j in range(5) if rng.random() < 0.6]
+        n = [rng.randint(0, 5) for _ in cells]
+        truth, taken = [rng.randint(0, k) for k in n], [rng.randint(0, k) for k in n]
+        need = {}
+        for c, t, k in zip(cells, truth, taken):
+            for x in c:
+                need[x] = need.get(x, 0) + t - k
+        result = spread_repair(spark, cells, n, taken, need, held)
+        assert all(0 <= k <= most for most, k in result)
+        assert not any(need.values())
+
+
+def test_spread_repair_fills_by_force_and_keeps_the_excess(spark):
+    members = [(i, m, "a" if i < 600 else "b") for i in range(1200) for m in ("one", "two")] + [(2000, "one", "a"), (2001, "two", "b")]
+    wanted = [("one", "a", 0.8), ("one", "b", 0.2), ("two", "a", 0.2), ("two", "b", 0.8)]
+    _, held = two_margins(spark, members, wanted)
+    _, spread = two_margins(spark, members, wanted, held=1)
+    assert {k: v[3:] for k, v in held.items()} == {k: v[3:] for k, v in spread.items()} and any(v[4] for v in spread.values())
